@@ -19,32 +19,31 @@ QUERY_ROWS = 1_500_000
 #: Longer pieces (bytes) take one merge after another on a heap: a query would make a row for each position in each round.
 LONG_PIECE = 400
 
+#: A pair of ids as one key.
+PAIR = 1 << 31
+
 #: Each round joins the positions of unfinished words to the merge table and contracts each word's leftmost pair of least rank.
-ENCODE_SQL = """
+ENCODE_SQL = f"""
 WITH RECURSIVE rounds(round, word, pos, token) AS (
     SELECT 0, word, pos, token FROM seed
     UNION ALL
     (WITH beside AS (
-        SELECT round, word, pos, token, lead(token) OVER w AS right_token, lag(pos) OVER w AS left_pos
+        SELECT round, word, pos, token, token * {PAIR} + lead(token) OVER w AS pair, lag(pos) OVER w AS left_pos
         FROM rounds WINDOW w AS (PARTITION BY word ORDER BY pos)
     ), ranked AS (
-        SELECT beside.*, merges.rank FROM beside LEFT JOIN merges ON merges.l = token AND merges.r = right_token
+        SELECT beside.*, rank FROM beside LEFT JOIN merges USING (pair)
     ), best AS (
-        SELECT word, arg_min(pos, rank * 1048576 + pos) AS hit FROM ranked WHERE rank IS NOT NULL GROUP BY word
+        SELECT word, min(rank * 1048576 + pos) AS least FROM ranked WHERE rank IS NOT NULL GROUP BY word
     )
-    SELECT round + 1, word, pos, CASE WHEN pos = hit THEN rank ELSE token END
+    SELECT round + 1, word, pos, CASE WHEN pos = least & 1048575 THEN rank ELSE token END
     FROM ranked JOIN best USING (word)
-    WHERE left_pos IS DISTINCT FROM hit)
+    WHERE left_pos IS DISTINCT FROM least & 1048575)
 )
-SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY word) AS final FROM rounds) WHERE round = final GROUP BY word
+SELECT round, word, pos, token FROM rounds
 """
 
 #: The bytes of each word's ids, in order.
-DECODE_SQL = """
-SELECT word, unhex(string_agg(bytes, '' ORDER BY i)) AS decoded
-FROM (SELECT word, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM ids) JOIN vocabulary USING (token) GROUP BY word
-"""
+DECODE_SQL = "SELECT word, list(bytes ORDER BY i) AS parts FROM ids JOIN vocabulary USING (token) GROUP BY word"
 
 
 class ByteBpe:
@@ -64,26 +63,35 @@ class ByteBpe:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
-        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int64())})  # noqa: F841
-        vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int64()), "bytes": [t.hex() for t in self.ranks]})  # noqa: F841
+        if max(self.ranks.values()) >= 1 << 31:
+            raise ValueError("ranks must fit 31 bits")
+        merges = pa.table({"pair": np.array(left, np.int64) * PAIR + np.array(right, np.int64), "rank": np.array(rank, np.int64)})  # noqa: F841
+        vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int64()), "bytes": pa.array(list(self.ranks), pa.binary())})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS FROM vocabulary")
         self.memo = Recent(limit)
 
     def _query(self, words: list[bytes]) -> list[list[int]]:
         size = np.fromiter(map(len, words), np.int64, len(words))
-        seed = pa.table(  # noqa: F841
+        seed = pa.table(
             {
                 "word": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), size)),
                 "pos": pa.array((np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)),
                 "token": pa.array(self.byte[np.frombuffer(b"".join(words), np.uint8)].astype(np.int64)),
             }
         )
-        got = self.db.execute(ENCODE_SQL).to_arrow_table()
-        ids: list = [None] * len(words)
-        for w, i in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True):
-            ids[w] = i
-        return ids
+        self.db.register("seed", seed)
+        got = self.db.sql(ENCODE_SQL).to_arrow_table()
+        self.db.unregister("seed")
+        turn, word, pos, token = (got[c].to_numpy() for c in ("round", "word", "pos", "token"))
+        last = np.zeros(len(words), turn.dtype)
+        np.maximum.at(last, word, turn)
+        done = turn == last[word]  # a word's last round has its ids
+        word, pos, token = word[done], pos[done], token[done]
+        order = np.lexsort((pos, word))
+        cuts = np.searchsorted(word[order], np.arange(len(words) + 1)).tolist()
+        ids = token[order].tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _heap(self, word: bytes) -> list[int]:
         """The same merges on one long piece: least rank first, the leftmost of equal ones."""
@@ -151,10 +159,13 @@ class ByteBpe:
                 at.append(i)
         for lo in range(0, len(at), 20_000):
             part = at[lo : lo + 20_000]
-            ids = pa.table({"word": pa.array(part, pa.int64()), "ids": pa.array([lists[i] for i in part], pa.list_(pa.int64()))})  # noqa: F841
-            got = self.db.execute(DECODE_SQL).to_arrow_table()
-            for w, d in zip(got["word"].to_pylist(), got["decoded"].to_pylist(), strict=True):
-                out[w] = d
+            size = np.fromiter((len(lists[i]) for i in part), np.int64, len(part))
+            token = np.fromiter((t for i in part for t in lists[i]), np.int64, int(size.sum()))
+            self.db.register("ids", pa.table({"word": np.repeat(np.array(part), size), "i": np.arange(len(token)), "token": token}))
+            got = self.db.sql(DECODE_SQL).to_arrow_table()
+            self.db.unregister("ids")
+            for w, d in zip(got["word"].to_pylist(), got["parts"].to_pylist(), strict=True):
+                out[w] = b"".join(d)
         return out
 
     def of(self, keys: list[bytes]) -> list[tuple[int, bytes, bytes]]:

@@ -42,3 +42,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_report
 
     return token_report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import report
+
+    return report(table(spark, sf_dir, "documents"), width=3, distance=3)
