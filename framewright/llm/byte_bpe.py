@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._session import bound_batches
 from ._text import Recent, once, pattern_starts, pieces, text_slices
@@ -203,7 +204,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
                 n.append(len(ids[-1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=[*batch.schema.names, "ids", "n_tokens"])
 
-    return src.mapInArrow(run, src.schema.add("ids", "array<int>").add("n_tokens", "long"))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -222,7 +223,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
             out = bpe.decode_many([x or [] for x in lists])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else d for x, d in zip(lists, out, strict=True)], pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return src.mapInArrow(run, src.schema.add("decoded", "binary"))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(df: DataFrame, ranks_path: str, keep: list[str]) -> DataFrame:

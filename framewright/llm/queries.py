@@ -55,3 +55,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import label_categories, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    labels, categories = label_categories(table(spark, sf_dir, "labels"))
+    return score(docs, train(docs, labels, categories), keep=["doc_id"])
