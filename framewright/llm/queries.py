@@ -64,3 +64,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels, categories = label_categories(table(spark, sf_dir, "labels"))
     return score(docs, train(docs, labels, categories), keep=["doc_id"])
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.report(table(spark, sf_dir, "documents"))
