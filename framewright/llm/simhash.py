@@ -145,3 +145,148 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, distance: int = 3) -
 def report(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     rows = near_duplicate_classes(docs, width, distance)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: wider fingerprints, whose blocks are drawn so that a similar pair shares one with high chance.
+
+#: Bits of a wide fingerprint, as four mixes of each shingle's hash.
+WIDE = 256
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def wide_fingerprint(words: list[bytes], width: int) -> bytes:
+    """A 256-bit SimHash of ``width``-word shingles: four mixed copies of each shingle's XXH64; no words give zeros."""
+    import xxhash
+
+    if not words:
+        return bytes(WIDE // 8)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        hashes = [digest(joined, 42)]
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-width] + 1))
+        hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
+    total = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(hashes), 255 * 32):
+        h = np.array(hashes[lo : lo + 255 * 32], np.uint64)[:, None] + _MIX[None, :]
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8), axis=1)
+        for at in range(0, len(bits), 255):
+            total += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(hashes)).tobytes()
+
+
+def bit_share(similarity: float) -> float:
+    """The share of bits in which shingle sets of this Jaccard similarity and equal size are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def drawn_blocks(n: int, similarity: float, missed: float = 0.05) -> list[np.ndarray]:
+    """Blocks (bit positions) for ``n`` fingerprints: wide enough that chance pairs stay in proportion to ``n``, and so many
+    that a pair at ``similarity`` shares none with a chance of at most ``missed``; closer pairs are missed far less often."""
+    width = int(min(30, max(16, np.ceil(np.log2(max(n, 2))) + 1)))
+    many = int(np.ceil(np.log(missed) / np.log1p(-((1 - bit_share(similarity)) ** width))))
+    rng, out = np.random.default_rng(64), []
+    while len(out) < many:
+        order = rng.permutation(WIDE)
+        out += [np.sort(order[i : i + width]) for i in range(0, WIDE - width + 1, width)]
+    return out[:many]
+
+
+def _near_lists(bounds: np.ndarray, nodes: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside each list: all near pairs of short lists, a spanning set of long ones."""
+    size, u, v = np.diff(bounds), [], []
+    for n in range(2, 9):
+        at = bounds[:-1][size == n]
+        for i, j in itertools.combinations(range(n), 2):
+            near = np.bitwise_count(prints[at + i] ^ prints[at + j]).sum(axis=1) <= most
+            u.append(nodes[at[near] + i]), v.append(nodes[at[near] + j])
+    for k in np.flatnonzero(size > 8).tolist():
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        label = np.arange(b - a)
+        near = np.zeros((b - a, b - a), bool)
+        for lo in range(0, b - a, 64):
+            near[lo : lo + 64] = np.bitwise_count(prints[a + lo : min(a + lo + 64, b), None] ^ prints[None, a:b]).sum(axis=2) <= most
+        while True:
+            new = np.where(near, label[None, :], b - a).min(axis=1)
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(b - a))
+        u.append(nodes[a + moved]), v.append(nodes[a + label[moved]])
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(u), join(v)
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, part: int = PART) -> DataFrame:
+    """(doc_id, node, component, keep_id) of each row of ``docs``: groups of exact and near copies.
+
+    Texts are alike when their wide fingerprints differ in at most the share of bits expected at a similarity somewhat below
+    ``similarity``, verified for every pair that shares a block. ``node`` stands for a fingerprint (a 64-bit hash of it),
+    ``component`` for the group, ``keep_id`` is the least doc_id of the group. Blank texts are copies of each other.
+    """
+    bound_batches(docs.sparkSession)
+    most = int(WIDE * (bit_share(similarity) + 0.035))
+    src = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py().lower().split(), width) for t in column], pa.binary())], names=["doc_id", "fp"])
+
+    prints = written(src.mapInArrow(run, "doc_id long, fp binary").withColumn("node", F.xxhash64("fp")), "copies")
+    nodes = written(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "copies-nodes")
+    blocks = drawn_blocks(nodes.count(), similarity)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1).astype(np.float64)
+            keys = np.column_stack([(bits[:, b] @ (2.0 ** np.arange(len(b)))).astype(np.int64) | (k << 32) for k, b in enumerate(blocks)])
+            for lo in range(0, len(keys), 500):
+                some = keys[lo : lo + 500]
+                yield pa.RecordBatch.from_arrays([pa.array(some.ravel()), pa.array(np.repeat(batch.column(0).to_numpy()[lo : lo + 500], some.shape[1]))], names=["key", "node"])
+
+    keyed = nodes.select("node", "fp").mapInArrow(key, "key long, node long")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = keyed.join(shared, "key").withColumn("p", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.hash("node", F.lit(7)), F.col("p")))
+    dealt = dealt.join(nodes.select("node", "fp"), "node").withColumn("other", F.explode(F.expr("sequence(0, p - 1)")))
+    groups = dealt.groupBy("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(F.struct("node", "fp")).alias("list"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            if not len(lists):
+                continue
+            bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            names = flat.field("node").to_numpy()
+            fps = np.frombuffer(b"".join(flat.field("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+            u, v = _near_lists(bounds, names, fps, most)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    member = components(groups.select("list").mapInArrow(link, "u long, v long").distinct()).withColumnRenamed("node", "__node")
+    named = nodes.join(member, F.col("node") == F.col("__node"), "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("first_id").alias("keep_id"))
+    return prints.join(named.join(least, "component").select("node", "component", "keep_id"), "node").select("doc_id", "node", "component", "keep_id")
+
+
+def drop_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of exact and near copies: the one of least doc_id, then least text hash.
+
+    All columns of ``docs`` come back, extra ones too; of repeated rows of the kept document one stays. Rows without a
+    doc_id cannot be named and stay.
+    """
+    names = docs.columns
+    h = F.xxhash64("text")
+    marked = near_copies(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), width, similarity)
+    keep = marked.groupBy("component").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
+    counted = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = written(counted, "copies-repeated")
+    once_each = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi").join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, "doc_id", "left_anti")
+    again = docs.join(repeated, "doc_id", "left_semi").join(keep, docs["doc_id"] == keep["__id"], "left_semi").withColumn("__h", h)
+    first = again.groupBy("doc_id").agg(F.min("__h").alias("__m")).withColumnRenamed("doc_id", "__i")
+    again = again.join(first, (F.col("doc_id") == F.col("__i")) & F.col("__h").eqNullSafe(F.col("__m"))).dropDuplicates(["doc_id"])
+    return once_each.select(*names).unionByName(again.select(*names)).unionByName(docs.where("doc_id IS NULL"))
