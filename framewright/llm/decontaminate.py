@@ -1,4 +1,4 @@
-"""Benchmark decontamination with DataFrame functions only: hashed item windows are broadcast, document windows probe them, hits are verified by their words."""
+"""Benchmark decontamination with DataFrame functions only: item windows are a broadcast hash set, document windows probe it, and a hit is an equal window."""
 
 from __future__ import annotations
 
@@ -20,12 +20,8 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _span(at: Column, n: int, name: str = "words") -> list[Column]:
-    return [F.get(F.col(name), at + k) for k in range(n)]
-
-
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(len, h, gram, items): distinct windows of the items with a 64-bit hash and the sorted ids of the items that have it.
+    """(len, gram, items): distinct windows of the items and the sorted ids of the items that have each.
 
     An item of fewer words is one window; one without words has none. A null item_id marks hits and is not listed.
     """
@@ -49,15 +45,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     small = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
     key = F.concat_ws(":", F.xxhash64("text"), F.octet_length("text"))
     rows = docs.select("doc_id", key.alias("text_key"), words(F.col("text").cast("string")).alias("words"))
-    rows = rows.select("doc_id", "text_key", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
-    found, lens = [], sorted((r["len"] for r in sizes), reverse=True)
+    lens = sorted((r["len"] for r in sizes), reverse=True)
+    # The windows are made where the words are: exploding the words beside them would copy a text once for each of its words.
+    each = ", ".join(f"'w{n}', if(i + {n} <= size(words), array_join(slice(words, i + 1, {n}), ' '), NULL)" for n in lens or [width])
+    rows = rows.select("doc_id", "text_key", F.size("words").alias("n_words"), F.expr(f"transform(words, (w, i) -> named_struct({each}))").alias("windows"))
+    rows = rows.select("doc_id", "text_key", "n_words", F.posexplode_outer("windows").alias("pos", "window"))
+    found = []
     for n in lens:
-        probe = F.when(F.col("pos") + n <= F.col("n_words"), F.xxhash64(*_span(F.col("pos"), n)))
-        side = grams.where(F.col("len") == n).select(
-            F.xxhash64(*_span(F.lit(0), n, "gram")).alias(f"h{n}"), F.array_join("gram", " ").alias(f"gram{n}"), F.struct("len", "items").alias(f"found{n}")
-        )
-        same = F.concat_ws(" ", *_span(F.col("pos"), n)) == F.col(f"gram{n}")
-        rows = rows.join(F.broadcast(side) if small else side, (probe == F.col(f"h{n}")) & same, "left").drop(f"h{n}", f"gram{n}")
+        side = grams.where(F.col("len") == n).select(F.array_join("gram", " ").alias("gram"), F.struct("len", "items").alias(f"found{n}"))
+        rows = rows.join(F.broadcast(side) if small else side, F.col(f"window.w{n}") == F.col("gram"), "left").drop("gram")
         found.append(F.col(f"found{n}"))
     hit = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<len:int,items:array<string>>>")
     kept = rows.withColumn("found", hit).where("pos IS NULL OR pos = 0 OR size(found) > 0").select("doc_id", "text_key", "n_words", "pos", "found")
