@@ -71,3 +71,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    return url_filter.report(table(spark, sf_dir, "pages"))
