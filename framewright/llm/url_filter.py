@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._session import written
+
 #: (verdict, host, path prefix); a rule fits its host and all subdomains, the longest one wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -57,15 +59,16 @@ def template_tree(urls: DataFrame) -> DataFrame:
     from their parent's are merged (a template without labels has nothing to be alike by, and stays), and purity, the share of
     bad labels, is smoothed by the whole table's share.
     """
-    leaves = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.count("bad").alias("labelled"))
+    leaves = written(urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.count("bad").alias("labelled")), "url-leaves")
     tree = leaves.withColumn("prefix", F.lit(""))
-    for level in range(DEPTH):
+    for level in range(leaves.agg(F.max(F.size("shape"))).first()[0] or 0):
         seg = F.get("shape", F.lit(level))
         wide = tree.where(seg.isNotNull()).groupBy("host", "prefix").agg(F.countDistinct(seg).alias("branches"))
         wide = wide.where(F.col("branches") > MOST_BRANCHES).select("host", "prefix", F.lit(True).alias("wide"))
         tree = tree.join(wide, ["host", "prefix"], "left")
         step = F.when(F.col("wide"), F.lit("*")).otherwise(seg)
         tree = tree.withColumn("prefix", F.when(seg.isNotNull(), F.concat("prefix", F.lit("/"), step)).otherwise(F.col("prefix"))).drop("wide")
+        tree = written(tree, "url-tree")  # each level reads the one above twice
     tree = tree.withColumnRenamed("prefix", "template")
     nodes = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     nodes = nodes.withColumn("parent", F.regexp_replace("template", r"/[^/]*$", ""))
