@@ -78,3 +78,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
     return url_filter.report(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import product_quantisation
+
+    return product_quantisation.report(table(spark, sf_dir, "embeddings"), least=0.9)
