@@ -85,3 +85,10 @@ def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import product_quantisation
 
     return product_quantisation.report(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.find(table(spark, sf_dir, "documents"))
