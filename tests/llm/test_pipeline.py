@@ -1,0 +1,36 @@
+import hashlib
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from framewright.llm import byte_bpe, decontaminate, queries, secrets, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_names():
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert "pipeline" in entry.queries() and set(queries.QUERIES) <= set(entry.queries())
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "byte_bpe"]
+
+
+def test_pipeline_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, categories = toxicity.label_categories(spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = {r["doc_id"] for r in toxicity.score(docs, toxicity.train(docs, labels, categories)).where("toxic").collect()}
+    rows = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] not in toxic}
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    sets = {i: shingles(r["text"] or "") for i, r in rows.items()}
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(out) <= set(rows)
+    bad = {r["doc_id"] for r in decontaminate.report(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
+    assert not set(out) & bad
+    near = lambda a, b, s: len(sets[a] & sets[b]) >= s * len(sets[a] | sets[b])
+    kept = sorted(out)
+    for k, i in enumerate(kept):
+        assert not any(near(i, j, 0.9) for j in kept[k + 1 :])
+    lost = set(rows) - set(out) - bad
+    assert all(any(j != i and near(i, j, 0.5) for j in rows) for i in lost)
+    bpe = byte_bpe.ByteBpe(queries.vocabulary("byte_bpe_multi_50k.tiktoken"))
+    for i in kept[:40]:
+        text = secrets.redacted(rows[i]["text"] or "")
+        assert hashlib.sha256(b"".join(bpe.bytes_of[t] for t in out[i]["ids"])).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
