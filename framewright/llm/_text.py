@@ -178,16 +178,20 @@ _loaded: dict = {}
 
 
 def once(key, make: Callable):
-    """One object of this kind for a Python worker, which serves many tasks."""
+    """One object of this kind for a Python worker, which serves many tasks. Only the last operator's stays, to bound memory."""
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = make()
     return _loaded[key]
 
 
+_kinds: list[np.ndarray] = []
+
+
 def char_kinds() -> np.ndarray:
     """For each code point: 0 white space, 1 letter, 2 number, 3 other, as the splitting pattern of the rank files sees it."""
 
-    def make() -> np.ndarray:
+    if not _kinds:
         import regex
 
         kinds = np.full(0x110000 + 1, 3, np.uint8)
@@ -197,9 +201,8 @@ def char_kinds() -> np.ndarray:
         for value, pattern in ((0, r"\s+"), (1, r"\p{L}+"), (2, r"\p{N}+")):
             for m in regex.finditer(pattern, every):
                 kinds[index[m.start() : m.end()]] = value
-        return kinds
-
-    return once("kinds", make)
+        _kinds.append(kinds)
+    return _kinds[0]
 
 
 def pattern_starts(raw: np.ndarray, doc_offsets: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from ._session import bound_batches
 from ._text import Recent, once, pattern_starts, pieces, text_slices
 
 #: Token-position rows that one recursive query may make; pieces are dealt to queries by this.
-QUERY_ROWS = 1_500_000
+QUERY_ROWS = 1_000_000
 #: Longer pieces (bytes) take one merge after another on a heap: a query would make a row for each position in each round.
 LONG_PIECE = 400
 
@@ -50,7 +50,7 @@ DECODE_SQL = "SELECT word, list(bytes ORDER BY i) AS parts FROM ids JOIN vocabul
 class ByteBpe:
     """One vocabulary in one single-threaded DuckDB connection of a Python worker."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 120_000):
         import duckdb
 
         with open(path, "rb") as f:
@@ -63,7 +63,7 @@ class ByteBpe:
                     left.append(a), right.append(b), rank.append(r)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         if max(self.ranks.values()) >= 1 << 31:
             raise ValueError("ranks must fit 31 bits")
         merges = pa.table({"pair": np.array(left, np.int64) * PAIR + np.array(right, np.int64), "rank": np.array(rank, np.int64)})  # noqa: F841

@@ -55,12 +55,12 @@ class _Rows:
 
     def __init__(self, ids: list[np.ndarray], values: list[np.ndarray]):
         size = np.array([len(i) for i in ids], np.int64)
-        self.n, self.row = len(ids), np.repeat(np.arange(len(ids)), size)
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.values = np.concatenate(values).astype(np.float64) if values else np.zeros(0)
+        self.n, self.row = len(ids), np.repeat(np.arange(len(ids), dtype=np.int32), size)
+        self.ids = np.concatenate(ids).astype(np.int32, copy=False) if ids else np.zeros(0, np.int32)
+        self.values = np.concatenate(values).astype(np.float32, copy=False) if values else np.zeros(0, np.float32)
 
     def pick(self, chosen: np.ndarray) -> _Rows:
-        at = np.full(self.n, -1)
+        at = np.full(self.n, -1, np.int32)
         at[np.flatnonzero(chosen)] = np.arange(chosen.sum())
         keep = chosen[self.row]
         out = _Rows([], [])
@@ -158,7 +158,7 @@ def _sparse(df: DataFrame, keep: list[str]) -> DataFrame:
     schema = src.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("shares", T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = once(("features", DIMS), lambda: Recent(150_000))
+        memo = once(("features", DIMS), lambda: Recent(80_000))
         for batch in batches:
             ids: list = [None] * batch.num_rows
             shares: list = [None] * batch.num_rows
@@ -193,8 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     got = _sparse(rows.withColumn("copy", F.xxhash64("text")).dropDuplicates(["copy", *categories]).drop("copy"), ["doc_id", *categories]).toArrow().sort_by("doc_id")
     x = _Rows([v.values.to_numpy() for v in got["ids"]], [v.values.to_numpy() for v in got["shares"]])
     y = np.column_stack([got[c].to_numpy() for c in categories]) if len(got) else np.zeros((0, len(categories)), int)
+    del got
     mix = np.random.default_rng(7).permutation(x.n)  # folds do not follow the order of ids
-    back = np.argsort(mix)
+    back = np.argsort(mix).astype(np.int32)
     x.row = back[x.row]
     return fit_chain(x, y[mix], categories)
 
@@ -218,7 +219,7 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value
         k = len(model.categories)
-        memo = Recent(150_000)
+        memo = Recent(80_000)
 
         def weigh(keys: list[bytes]) -> list[tuple[float, ...]]:
             found = [word_features(key) for key in keys]
