@@ -202,3 +202,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
 
 def report(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     return near_vectors(vectors, least).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: The same report in DuckDB, by comparing all pairs.
+ORACLE = """
+WITH RECURSIVE rows AS (
+    SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS (
+    SELECT * FROM rows WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.r AS u, b.r AS v FROM usable a JOIN usable b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(r, n) AS (
+    SELECT r, r FROM rows UNION SELECT reach.r, v FROM reach JOIN links ON u = n
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE u = rows.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN (SELECT reach.r, min(x.vec_id) AS component_id FROM reach JOIN rows x ON x.r = n GROUP BY 1) USING (r)
+"""

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, product_quantisation
 from ._session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op9_product_quantisation": product_quantisation.ORACLE}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -82,8 +82,6 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import product_quantisation
-
     return product_quantisation.report(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
