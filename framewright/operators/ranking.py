@@ -29,9 +29,10 @@ def global_rank(rows: DataFrame, order: list[str], out: str) -> tuple[DataFrame,
         edges = F.array(*[F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields]) for b in bounds])
         part = F.size(F.filter(edges, lambda e: e <= key))
     dealt = rows.withColumn("__part", part)
-    before, total = {}, 0
-    for r in dealt.groupBy("__part").count().orderBy("__part").collect():
-        before[r["__part"]], total = total, total + r["count"]
+    before, total = ({}, 0) if bounds else ({0: 0}, n)
+    if bounds:
+        for r in dealt.groupBy("__part").count().orderBy("__part").collect():
+            before[r["__part"]], total = total, total + r["count"]
     by = ", ".join(f"`{c}` ASC NULLS FIRST" for c in order)
     base = F.element_at(F.create_map(*[F.lit(int(x)).cast(t) for p, b in before.items() for x, t in ((p, "int"), (b, "long"))]), F.col("__part")) if before else F.lit(0)
     ranked = dealt.withColumn("__rn", F.expr(f"row_number() OVER (PARTITION BY __part ORDER BY {by})"))
