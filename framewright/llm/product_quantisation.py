@@ -18,8 +18,11 @@ FIT_SAMPLE = 8192
 SUBSPACES = 8
 CODES = 64
 #: Vectors for each inverted list, and the most lists.
-PER_LIST = 200
+PER_LIST = 800
 MOST_LISTS = 1024
+#: A near vector's offset is taken to point anywhere in the space that residuals spread in; lists that it reaches only by so
+#: many standard deviations along the line to their centroid, or more, are not asked.
+PROBE_DEVIATIONS = 3.0
 #: Entries of one side of a block; larger lists are split in blocks that all meet.
 BLOCK = 512
 
@@ -30,6 +33,7 @@ class Index:
 
     coarse: np.ndarray
     books: np.ndarray
+    spread: float = 1.0  # how many dimensions the residuals really spread in
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """(n, subspaces, width) of vectors, padded with zeros."""
@@ -71,8 +75,10 @@ def fit(sample: np.ndarray, n: int) -> Index:
     near, _ = blank.nearest(sample)
     r = blank.split(sample - coarse[near])
     books = [_kmeans(r[:, m], CODES, rounds=8) for m in range(SUBSPACES)]
+    power = np.linalg.eigvalsh(np.atleast_2d(np.cov((sample - coarse[near]).T))) if len(sample) > 2 else np.ones(1)
+    spread = float(power.sum() ** 2 / max((power**2).sum(), 1e-30))
     most = max(map(len, books))
-    return Index(coarse, np.stack([np.pad(b, ((0, most - len(b)), (0, 0)), mode="edge") for b in books]))
+    return Index(coarse, np.stack([np.pad(b, ((0, most - len(b)), (0, 0)), mode="edge") for b in books]), max(1.0, spread))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -115,18 +121,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
 
     Vectors link at a cosine of at least ``least`` in double precision. Equal vectors are one entry with its number of rows
     and least vec_id, by partial aggregation. Each entry is in the inverted list of its nearest centroid, by its residual
-    codes, and asks all lists that can hold a near one, so the search loses no link; lists are dealt in blocks, so a
-    crowded list is many groups. Links are counted, and only a spanning set of each block is kept for the components.
+    codes, and asks the lists that a near one can be in; in a list the codes' distance less the entry's own error decides, so
+    none is passed over there. Lists are dealt in blocks, so a crowded list is many groups. Links are counted, and only a spanning set of each block is kept for the components.
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do ones of another
     length than the most common; they are rows with no link and their own component. Repeated rows stay.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.col(vec).cast("array<double>").alias("v")).withColumn("ok", F.coalesce(ok, F.lit(False)))
+    kept = "array<float>" if dict(vectors.dtypes)[vec] == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col(vec).cast(kept).alias("v")).withColumn("ok", F.coalesce(ok, F.lit(False)))
     rows = rows.select("vec_id", F.when(F.col("ok"), F.col("v")).alias("v"))
     key = F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))  # -0.0 is 0.0
-    rows = written(rows.withColumn("v", key).withColumn("entry", F.sha2(F.array_join("v", ","), 256)), "vectors")
+    rows = written(rows.withColumn("v", key.cast(kept)).withColumn("entry", F.sha2(F.array_join("v", ","), 256)), "vectors")
     entries = rows.where("v IS NOT NULL").groupBy("entry").agg(F.first("v").alias("v"), F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     entries = written(entries.withColumn("node", F.xxhash64("entry")), "vectors-entries")
     sizes = entries.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
@@ -136,20 +143,22 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
     usable = entries.where(F.size("v") == dims)
     sample = usable.orderBy(F.xxhash64("node", F.lit(3)), "entry").limit(FIT_SAMPLE).select("v").toArrow()["v"].combine_chunks()
     index = spark.sparkContext.broadcast(fit(_unit(_vectors(sample)), total))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    farthest = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    kind = dict(entries.dtypes)["v"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
+        reach = farthest * min(1.0, PROBE_DEVIATIONS / np.sqrt(ix.spread))
         for batch in batches:
             x = _unit(_vectors(batch.column(2)))
             lists, d = ix.nearest(x)
             codes, error = ix.code(x, lists)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.astype(np.int32) for p in _probes(ix, d, reach)], pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.astype(np.int32) for p in _probes(ix, d, reach)], pa.list_(pa.int32()))],
                 names=["node", "n", "x", "list", "codes", "error", "probes"],
             )
 
-    placed = written(usable.select("node", "n", "v").mapInArrow(place, "node long, n long, x array<double>, list int, codes binary, error double, probes array<int>"), "vectors-placed")
+    placed = written(usable.select("node", "n", "v").mapInArrow(place, f"node long, n long, x {kind}, list int, codes binary, error double, probes array<int>"), "vectors-placed")
     held = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).withColumnRenamed("list", "at")
     asked = placed.select("node", "x", F.explode("probes").alias("at"))
     asks = asked.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
@@ -167,7 +176,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
             for r in range(batch.num_rows):
                 es = batch.column(1).slice(r, 1).flatten()
                 is_entry = np.array(es.field("codes").is_valid())
-                node, x = es.field("node").to_numpy(), _vectors(es.field("x"))
+                node, x = es.field("node").to_numpy(), _unit(_vectors(es.field("x")))
                 e, q = np.flatnonzero(is_entry), np.flatnonzero(~is_entry)
                 if not len(e) or not len(q):
                     continue
