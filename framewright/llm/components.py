@@ -13,7 +13,8 @@ MAX_ROUNDS = 60
 def _with_least(links: DataFrame) -> DataFrame:
     """Both directions of ``links`` with the least of each node and its neighbours."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written first, so that the join reads two plain shuffles and Spark can split a hub's links over tasks.
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
     return both.join(least, "u")
 
 
@@ -24,7 +25,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node's smaller neighbours and itself move to the least of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = down.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
@@ -46,7 +47,7 @@ def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         if after == mark or not after[0]:
             break
         mark = after
-        now = _small_star(_large_star(now).distinct()).distinct().checkpoint()
+        now = _small_star(_large_star(now).distinct().checkpoint()).distinct().checkpoint()
     else:
         raise RuntimeError("the links did not settle")
     member = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
