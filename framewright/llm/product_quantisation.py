@@ -105,14 +105,18 @@ def _match(index: Index, c: int, codes: np.ndarray, error: np.ndarray, x: np.nda
     """(query, entry) pairs of cosine of at least ``least`` in list ``c``. A table of distances from each query's residual to
     each code gives the distance to what the codes stand for; as an entry is at most its ``error`` from there, none that is
     near enough is passed over. What is left is compared exactly."""
-    reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-7
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-4  # more than single precision can be off
     r = index.split(q - index.coarse[c])
-    table = ((r[:, :, None] - index.books[None]) ** 2).sum(3)
-    total = np.zeros((len(q), len(x)))
-    for m in range(codes.shape[1]):
-        total += table[:, m][:, codes[:, m]]
-    a, b = np.nonzero(np.sqrt(total) - error[None] <= reach)
-    keep = np.einsum("ij,ij->i", q[a], x[b]) >= least
+    total = np.zeros((len(q), len(x)), np.float32)
+    part = np.empty_like(total)
+    for m, book in enumerate(index.books):
+        table = np.maximum((r[:, m] ** 2).sum(1)[:, None] - 2 * r[:, m] @ book.T + (book**2).sum(1), 0).astype(np.float32)
+        total += np.take(table, codes[:, m], axis=1, out=part, mode="clip")
+    a, b = np.nonzero(total <= ((reach + error) ** 2).astype(np.float32)[None])
+    if len(a) * 50 > total.size:  # many are left: one product of matrices is cheaper than one pair after another
+        keep = (q @ x.T)[a, b] >= least
+    else:
+        keep = np.einsum("ij,ij->i", q[a], x[b]) >= least
     return a[keep], b[keep]
 
 
