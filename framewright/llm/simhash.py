@@ -147,36 +147,55 @@ def report(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: wider fingerprints, whose blocks are drawn so that a similar pair shares one with high chance.
+# Near copies by similarity: wider fingerprints, whose blocks are drawn so that a similar pair shares one with high chance,
+# find candidates; their shingle sets are compared exactly.
 
 #: Bits of a wide fingerprint, as four mixes of each shingle's hash.
 WIDE = 256
+#: Candidates may differ in this share of bits beyond the expected one: five standard deviations of a long text's, over
+#: three of the shortest sets at 0.8 (four of five shingles, 48 bits expected).
+CANDIDATE_SLACK = 0.12
+#: Sets and their bytes in one part of a group of candidates; parts of larger groups meet in pairs.
+VERIFY_ROWS = 512
+VERIFY_BYTES = 6 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def wide_fingerprint(words: list[bytes], width: int) -> bytes:
-    """A 256-bit SimHash of ``width``-word shingles: four mixed copies of each shingle's XXH64; no words give zeros."""
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct ``width``-word shingles as sorted XXH64 (seed 42); fewer words are one shingle, no words none."""
     import xxhash
 
     if not words:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-width] + 1))
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
+        return np.array([digest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-width] + 1))
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """A 256-bit SimHash of a shingle set: four mixed copies of each hash; an empty set gives zeros."""
+    if not len(shingles):
+        return bytes(WIDE // 8)
     total = np.zeros(WIDE, np.int64)
-    for lo in range(0, len(hashes), 255 * 32):
-        h = np.array(hashes[lo : lo + 255 * 32], np.uint64)[:, None] + _MIX[None, :]
+    for lo in range(0, len(shingles), 255 * 32):
+        h = shingles[lo : lo + 255 * 32, None] + _MIX[None, :]
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
         bits = np.unpackbits(h.view(np.uint8), axis=1)
         for at in range(0, len(bits), 255):
             total += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(total * 2 > len(hashes)).tobytes()
+    return np.packbits(total * 2 > len(shingles)).tobytes()
+
+
+def _node(shingles: np.ndarray) -> int:
+    """What names a shingle set: equal sets are one node."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 64) - (1 << 63)
 
 
 def bit_share(similarity: float) -> float:
@@ -221,23 +240,53 @@ def _near_lists(bounds: np.ndarray, nodes: np.ndarray, prints: np.ndarray, most:
     return join(u), join(v)
 
 
+def verified_links(nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between sets whose Jaccard similarity is at least ``similarity``, compared exactly; only
+    pairs of fingerprints within ``most`` bits are. A pair that other links connect already is not compared again."""
+    size = np.array([len(x) for x in sets], np.int64)
+    label, u, v = np.arange(len(sets)), [], []
+    for i in range(len(sets) - 1):
+        rest = np.arange(i + 1, len(sets))
+        rest = rest[(label[rest] != label[i]) & (np.minimum(size[rest], size[i]) + 1e-9 >= similarity * np.maximum(size[rest], size[i]))]
+        rest = rest[np.bitwise_count(prints[rest] ^ prints[i]).sum(axis=1) <= most]
+        for lo in range(0, len(rest), 64):
+            some = rest[lo : lo + 64]
+            some = some[label[some] != label[i]]
+            if not len(some) or not size[i]:
+                continue
+            flat = np.concatenate([sets[j] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(size[some])[:-1])))
+            for j in some[both + 1e-9 >= similarity * (size[i] + size[some] - both)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    u.append(nodes[i]), v.append(nodes[j])
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, part: int = PART) -> DataFrame:
     """(doc_id, node, component, keep_id) of each row of ``docs``: groups of exact and near copies.
 
-    Texts are alike when their wide fingerprints differ in at most the share of bits expected at a similarity somewhat below
-    ``similarity``, verified for every pair that shares a block. ``node`` stands for a fingerprint (a 64-bit hash of it),
-    ``component`` for the group, ``keep_id`` is the least doc_id of the group. Blank texts are copies of each other.
+    Texts link when the Jaccard similarity of their sets of ``width``-word shingles is at least ``similarity``. ``node``
+    stands for a set (a 64-bit hash of it). Wide fingerprints only find candidates: pairs that share a drawn block and
+    differ in somewhat more bits than is expected at ``similarity`` make groups of candidates; in each, the sets themselves
+    are compared, and the links that hold give ``component``. ``keep_id`` is the least doc_id of a component. Blank texts are
+    copies of each other.
     """
     bound_batches(docs.sparkSession)
-    most = int(WIDE * (bit_share(similarity) + 0.035))
+    most = int(WIDE * (bit_share(similarity) + CANDIDATE_SLACK))
     src = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py().lower().split(), width) for t in column], pa.binary())], names=["doc_id", "fp"])
+            fps, names = [], []
+            for t in column:
+                shingles = shingle_set(t.as_py().lower().split(), width)
+                fps.append(wide_fingerprint(shingles)), names.append(_node(shingles))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(names, pa.int64())], names=["doc_id", "fp", "node"])
 
-    prints = written(src.mapInArrow(run, "doc_id long, fp binary").withColumn("node", F.xxhash64("fp")), "copies")
+    prints = written(src.mapInArrow(run, "doc_id long, fp binary, node long"), "copies")
     nodes = written(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "copies-nodes")
     blocks = drawn_blocks(nodes.count(), similarity)
 
@@ -267,7 +316,35 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, part:
             u, v = _near_lists(bounds, names, fps, most)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    member = components(groups.select("list").mapInArrow(link, "u long, v long").distinct()).withColumnRenamed("node", "__node")
+    candidates = components(groups.select("list").mapInArrow(link, "u long, v long").distinct()).withColumnRenamed("component", "candidates")
+    asked = nodes.join(candidates, "node").select(F.col("first_id").alias("doc_id"), "node", "candidates")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+            sets = [shingle_set(t.as_py().lower().split(), width) for t in column]
+            # A repeated doc_id can bring other texts than the one that names the node.
+            same = np.array([_node(x) for x in sets], np.int64) == batch.column(0).to_numpy()
+            mine = [x for x, s in zip(sets, same.tolist(), strict=True) if s]
+            kept = [batch.column(c).filter(pa.array(same)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([wide_fingerprint(x) for x in mine], pa.binary()), pa.array([x.tobytes() for x in mine], pa.binary())], names=["node", "candidates", "fp", "shingles"])
+
+    spelt = src.join(asked, "doc_id").select("node", "candidates", "__text").mapInArrow(spell, "node long, candidates long, fp binary, shingles binary")
+    spelt = written(spelt.dropDuplicates(["node"]), "copies-sets")
+    sizes = spelt.groupBy("candidates").agg(F.greatest(F.ceil(F.count("*") / VERIFY_ROWS), F.ceil(F.sum(F.length("shingles")) / VERIFY_BYTES)).cast("int").alias("p"))
+    split = spelt.join(sizes, "candidates").withColumn("own", F.pmod(F.hash("node", F.lit(9)), F.col("p"))).withColumn("other", F.explode(F.expr("sequence(0, p - 1)")))
+    meet = split.groupBy("candidates", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(F.struct("node", "fp", "shingles")).alias("list"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                flat = batch.column(0).slice(r, 1).flatten()
+                fps = np.frombuffer(b"".join(flat.field("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+                sets = [np.frombuffer(x, np.uint64) for x in flat.field("shingles").to_pylist()]
+                u, v = verified_links(flat.field("node").to_numpy(), fps, sets, most, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    member = components(meet.select("list").mapInArrow(verify, "u long, v long")).withColumnRenamed("node", "__node")
     named = nodes.join(member, F.col("node") == F.col("__node"), "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("keep_id"))
     return prints.join(named.join(least, "component").select("node", "component", "keep_id"), "node").select("doc_id", "node", "component", "keep_id")
