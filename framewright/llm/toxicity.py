@@ -112,10 +112,11 @@ def _apply(x: _Rows, earlier: np.ndarray, model: tuple[float, np.ndarray, np.nda
     return 1 / (1 + np.exp(-np.clip(model[0] + x.dot(model[1]) + earlier @ model[2], -40, 40)))
 
 
-def fit_chain(x: _Rows, labels: np.ndarray, categories: list[str], folds: int = FOLDS) -> Chain:
+def fit_chain(x: _Rows, labels: np.ndarray, categories: list[str], folds: int = FOLDS, weight: np.ndarray | None = None) -> Chain:
     """One model for each category in order; the next ones learn from out-of-fold probabilities, and so does the threshold.
 
-    A category with one value only predicts that value's share.
+    A category with one value only predicts that value's share. ``weight`` is how many labelled rows each row stands for (one
+    if None); the threshold counts with it.
     """
     chain, earlier = Chain(categories), np.zeros((x.n, 0))
     fold = np.arange(x.n) % folds
@@ -135,17 +136,18 @@ def fit_chain(x: _Rows, labels: np.ndarray, categories: list[str], folds: int =
         chain.bias.append(float(model[0])), chain.weights.append(model[1]), chain.links.append(model[2])
         earlier = np.column_stack([earlier, unseen])
     if x.n:
-        chain.threshold = _threshold(earlier[:, -1], labels[:, -1])
+        chain.threshold = _threshold(earlier[:, -1], labels[:, -1], np.ones(x.n) if weight is None else weight)
     return chain
 
 
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where out-of-fold F1 is best; in the middle of its range of equal results. 1.01 (never) if no row is positive."""
+def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Where out-of-fold F1 of rows that count by ``weight`` is best; in the middle of its range of equal results. 1.01 (never)
+    if no row is positive."""
     if not y.any():
         return 1.01
     order = np.argsort(-p, kind="stable")
-    hits, score = np.cumsum(y[order]), p[order]
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, score = np.cumsum((weight * y)[order]), p[order]
+    f1 = 2 * hits / (np.cumsum(weight[order]) + (weight * y).sum())
     f1[:-1][score[:-1] == score[1:]] = -1
     best = int(np.argmax(f1))
     below = score[best + 1] if best + 1 < len(score) else 0.0
@@ -182,12 +184,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     """Fit the chain on a bounded sample: for each value of the last category the ``sample`` labelled rows of least doc_id hash.
 
     ``labels`` has doc_id and a 0/1 column for each category; rows with a null there are left out. Copies of a text with the
-    same labels count once.
+    same labels count once. For the threshold a sampled row stands for as many rows of its value as the whole table has for
+    each one taken, so the threshold does not move with the size of ``labels``.
     """
     bound_batches(docs.sparkSession)
     last = categories[-1]
     clean = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).where(" AND ".join(f"`{c}` IN (0, 1)" for c in categories) + " AND doc_id IS NOT NULL")
     mixed = F.xxhash64("doc_id", F.lit(5))
+    held = {r[last]: r["count"] for r in clean.groupBy(last).count().collect()}
     picked = clean.where(F.col(last) == 1).orderBy(mixed, "doc_id").limit(sample).unionByName(clean.where(F.col(last) == 0).orderBy(mixed, "doc_id").limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 x sample rows
     got = _sparse(rows.withColumn("copy", F.xxhash64("text")).dropDuplicates(["copy", *categories]).drop("copy"), ["doc_id", *categories]).toArrow().sort_by("doc_id")
@@ -197,7 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     mix = np.random.default_rng(7).permutation(x.n)  # folds do not follow the order of ids
     back = np.argsort(mix).astype(np.int32)
     x.row = back[x.row]
-    return fit_chain(x, y[mix], categories)
+    y = y[mix]
+    stands_for = np.where(y[:, -1] == 1, *(max(1.0, held.get(value, 0) / sample) for value in (1, 0)))
+    return fit_chain(x, y, categories, weight=stands_for)
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:

@@ -61,6 +61,35 @@ def test_toxicity_learns_catches_and_leaves_alone(spark):
     assert toxicity.score(df.where("false"), chain).count() == 0
 
 
+def test_toxicity_threshold_stays_when_the_sample_is_bounded(spark):
+    rng = random.Random(8)
+    good, bad = [f"word{i}" for i in range(200)], ["vile", "nasty", "awful"]
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        words = rng.choices(good, k=60)
+        for at in range(rng.choice([2, 3, 4, 5]) if toxic else rng.choice([0, 0, 0, 0, 1, 1, 2, 3])):  # overlapping classes
+            words[at] = rng.choice(bad)
+        rows.append((i, " ".join(words))), labels.append((i, 0, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, junk int, toxic int")
+    passed = []
+    for sample in (4000, 300):  # the second takes a ninth of the clean rows and all toxic ones
+        scored = toxicity.score(df, toxicity.train(df, lab, ["junk", "toxic"], sample), keep=["doc_id"])
+        passed.append(sum(r["toxic"] and r["doc_id"] % 10 != 0 for r in scored.collect()) / 2700)
+    assert abs(passed[0] - passed[1]) < 0.08, passed  # fitted on fewer rows, so not quite equal; 0.25 without weights
+
+
+def test_toxicity_threshold_counts_the_rows_that_a_row_stands_for():
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.normal(0.65, 0.12, 400), rng.normal(0.4, 0.12, 4000)])
+    y = np.repeat([1, 0], [400, 4000])
+    few = np.concatenate([np.arange(400), 400 + rng.choice(4000, 400, replace=False)])
+    whole = toxicity._threshold(p, y, np.ones(len(y)))
+    assert abs(toxicity._threshold(p[few], y[few], np.repeat([1.0, 10.0], 400)) - whole) < 0.04
+    assert abs(toxicity._threshold(p[few], y[few], np.ones(800)) - whole) > 0.06
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
