@@ -82,12 +82,12 @@ def test_toxicity_threshold_stays_when_the_sample_is_bounded(spark):
 
 def test_toxicity_threshold_counts_the_rows_that_a_row_stands_for():
     rng = np.random.default_rng(9)
-    p = np.concatenate([rng.normal(0.65, 0.12, 400), rng.normal(0.4, 0.12, 4000)])
-    y = np.repeat([1, 0], [400, 4000])
-    few = np.concatenate([np.arange(400), 400 + rng.choice(4000, 400, replace=False)])
+    p = np.concatenate([rng.normal(0.65, 0.12, 4000), rng.normal(0.4, 0.12, 40_000)])
+    y = np.repeat([1, 0], [4000, 40_000])
+    few = np.concatenate([np.arange(4000), 4000 + rng.choice(40_000, 4000, replace=False)])
     whole = toxicity._threshold(p, y, np.ones(len(y)))
-    assert abs(toxicity._threshold(p[few], y[few], np.repeat([1.0, 10.0], 400)) - whole) < 0.04
-    assert abs(toxicity._threshold(p[few], y[few], np.ones(800)) - whole) > 0.06
+    assert abs(toxicity._threshold(p[few], y[few], np.repeat([1.0, 10.0], 4000)) - whole) < 0.04
+    assert abs(toxicity._threshold(p[few], y[few], np.ones(8000)) - whole) > 0.06
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
