@@ -20,11 +20,12 @@ CODES = 64
 #: Vectors for each inverted list, and the most lists.
 PER_LIST = 800
 MOST_LISTS = 1024
-#: A near vector's offset is taken to point anywhere in the space that residuals spread in; lists that it reaches only by so
-#: many standard deviations along the line to their centroid, or more, are not asked.
-PROBE_DEVIATIONS = 3.0
-#: Entries of one side of a block; larger lists are split in blocks that all meet.
+#: Queries of a block that are compared at once.
 BLOCK = 512
+#: One side of a block is at most so many times as long and so many bytes; larger lists are split in blocks that all meet. The
+#: longer the sides, the fewer copies travel.
+SIDE = 8
+SIDE_BYTES = 4 << 20
 
 
 @dataclass
@@ -33,7 +34,6 @@ class Index:
 
     coarse: np.ndarray
     books: np.ndarray
-    spread: float = 1.0  # how many dimensions the residuals really spread in
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """(n, subspaces, width) of vectors, padded with zeros."""
@@ -75,10 +75,8 @@ def fit(sample: np.ndarray, n: int) -> Index:
     near, _ = blank.nearest(sample)
     r = blank.split(sample - coarse[near])
     books = [_kmeans(r[:, m], CODES, rounds=8) for m in range(SUBSPACES)]
-    power = np.linalg.eigvalsh(np.atleast_2d(np.cov((sample - coarse[near]).T))) if len(sample) > 2 else np.ones(1)
-    spread = float(power.sum() ** 2 / max((power**2).sum(), 1e-30))
     most = max(map(len, books))
-    return Index(coarse, np.stack([np.pad(b, ((0, most - len(b)), (0, 0)), mode="edge") for b in books]), max(1.0, spread))
+    return Index(coarse, np.stack([np.pad(b, ((0, most - len(b)), (0, 0)), mode="edge") for b in books]))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -90,13 +88,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _probes(index: Index, d: np.ndarray, reach: float) -> list[np.ndarray]:
-    """For each vector all lists that can hold a vector within ``reach``: one in list c is nearer to c than to the vector's own
-    centroid, so the vector is at most ``reach`` beyond the plane between the two."""
+def _beyond(index: Index, d: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How far each vector (squared distances ``d`` to all centroids) is on its own centroid's side of the plane between that
+    and each other one; 0 for its own."""
+    square = (index.coarse**2).sum(1)
+    gap = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * index.coarse @ index.coarse.T, 0))[own]
+    ahead = d - d[np.arange(len(d)), own][:, None]
+    return np.divide(ahead, 2 * gap, out=np.zeros_like(d), where=gap > 1e-9)
+
+
+def _extent(index: Index, lists: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the lists that these entries are in: their numbers, and for each the least distance of its entries to the plane
+    towards every centroid, then the greatest distance to its own; rounded outwards to single precision."""
+    some = np.unique(lists)
+    depth, radius = _beyond(index, d, lists), np.sqrt(d[np.arange(len(d)), lists])
+    rows = np.stack([np.append(depth[lists == c].min(0) - 1e-6, radius[lists == c].max() + 1e-6) for c in some])
+    return some, rows.astype(np.float32)
+
+
+def _probes(index: Index, d: np.ndarray, reach: float, extent: np.ndarray) -> list[np.ndarray]:
+    """For each vector all lists that hold, by their real ``extent``, a vector that can be within ``reach``.
+
+    One of list c is at least extent[c, own] beyond the plane to the vector's own centroid, and the vector is some way before
+    it: both together are at most ``reach``. Nor is it farther from c than the vector is, less ``reach``.
+    """
     own = d.argmin(1)
-    gap = np.sqrt(np.maximum(((index.coarse[:, None] - index.coarse[None]) ** 2).sum(2), 0))[own] if len(index.coarse) <= 256 else np.sqrt(np.maximum((index.coarse**2).sum(1)[own][:, None] + (index.coarse**2).sum(1) - 2 * index.coarse[own] @ index.coarse.T, 0))
-    beyond = d - d[np.arange(len(d)), own][:, None]
-    ok = beyond <= 2 * gap * (reach + 1e-6) + 1e-9
+    slack = reach + 1e-5
+    ok = (_beyond(index, d, own) + extent[:, :-1].T[own] <= slack) & (np.sqrt(d) - extent[:, -1][None] <= slack)
     ok[np.arange(len(d)), own] = True
     return [np.flatnonzero(o) for o in ok]
 
@@ -125,10 +143,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
 
     Vectors link at a cosine of at least ``least`` in double precision. Equal vectors are one entry with its number of rows
     and least vec_id, by partial aggregation. Each entry is in the inverted list of its nearest centroid, by its residual
-    codes, and asks the lists that a near one can be in; in a list the codes' distance less the entry's own error decides, so
-    none is passed over there. Lists are dealt in blocks, so a crowded list is many groups. Links are counted, and only a spanning set of each block is kept for the components.
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do ones of another
-    length than the most common; they are rows with no link and their own component. Repeated rows stay.
+    codes, and asks every list that a near one can be in by the real extent of the list's entries; in a list the codes'
+    distance less the entry's own error decides, so none is passed over in either. Each length of vectors has its own index. Lists are dealt in blocks, so a crowded list is many groups. Links are counted, and only a spanning set of each block is kept for the components.
+    Vectors link with ones of their own length. Those that are null, empty, zero, or hold null or non-finite components link
+    with nothing; they are rows with no link and their own component. Repeated rows stay.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -140,32 +158,72 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
     rows = written(rows.withColumn("v", key.cast(kept)).withColumn("entry", F.sha2(F.array_join("v", ","), 256)), "vectors")
     entries = rows.where("v IS NOT NULL").groupBy("entry").agg(F.first("v").alias("v"), F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     entries = written(entries.withColumn("node", F.xxhash64("entry")), "vectors-entries")
-    sizes = entries.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    dims, total = sizes
-    usable = entries.where(F.size("v") == dims)
+    sizes = entries.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dims").collect()
+    found = None
+    for dims, total in sizes:
+        of_length = _links(entries.where(F.size("v") == dims), total, least)
+        found = of_length if found is None else found.unionByName(of_length)
+    if found is None:
+        found = spark.createDataFrame([], "u long, v long, c long")
+    counts = found.groupBy("u").agg(F.sum("c").alias("c")).withColumnRenamed("u", "node")
+    member = components(found.select("u", "v").where("u <> v").distinct()).withColumnRenamed("component", "root")
+    named = entries.join(counts, "node", "left").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    done = named.join(least_id, "root").select("entry", (F.coalesce("c", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return rows.where("v IS NOT NULL").join(done, "entry").select("vec_id", "n_links", "component_id").unionByName(alone)
+
+
+def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
+    """(u, v, c) of ``total`` entries (entry, v, n, node) of one length: nodes that links connect, and the linked rows of u."""
+    spark = usable.sparkSession
     sample = usable.orderBy(F.xxhash64("node", F.lit(3)), "entry").limit(FIT_SAMPLE).select("v").toArrow()["v"].combine_chunks()
     index = spark.sparkContext.broadcast(fit(_unit(_vectors(sample)), total))
+    lists_of, lengths = index.value.coarse.shape
     farthest = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    kind = dict(entries.dtypes)["v"]
+    kind = dict(usable.dtypes)["v"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
-        reach = farthest * min(1.0, PROBE_DEVIATIONS / np.sqrt(ix.spread))
         for batch in batches:
             x = _unit(_vectors(batch.column(2)))
-            lists, d = ix.nearest(x)
+            lists, _ = ix.nearest(x)
             codes, error = ix.code(x, lists)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.astype(np.int32) for p in _probes(ix, d, reach)], pa.list_(pa.int32()))],
-                names=["node", "n", "x", "list", "codes", "error", "probes"],
-            )
-
-    placed = written(usable.select("node", "n", "v").mapInArrow(place, f"node long, n long, x {kind}, list int, codes binary, error double, probes array<int>"), "vectors-placed")
-    held = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).withColumnRenamed("list", "at")
-    asked = placed.select("node", "x", F.explode("probes").alias("at"))
-    asks = asked.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["node", "n", "x", "list", "codes", "error"])
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, whole = index.value, np.full((lists_of, lists_of + 1), np.inf, np.float32)
+        for batch in batches:
+            lists, d = ix.nearest(_unit(_vectors(batch.column(0))))
+            some, rows = _extent(ix, lists, d)
+            rows[:, -1] *= -1  # minima all
+            whole[some] = np.minimum(whole[some], rows)
+        some = np.flatnonzero(np.isfinite(whole).all(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([whole[c].tobytes() for c in some], pa.binary())], names=["list", "extent"])
+
+    def least_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(b"".join(r), np.float32).reshape(len(r), -1).min(0).tobytes() for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["list", "extent"])
+
+    placed = written(usable.select("node", "n", "v").mapInArrow(place, f"node long, n long, x {kind}, list int, codes binary, error double"), "vectors-placed")
+    widest = placed.select("x").mapInArrow(widen, "list int, extent binary").groupBy("list").agg(F.collect_list("extent").alias("extents"))
+    extent = np.full((lists_of, lists_of + 1), np.inf, np.float32)  # an empty list is never asked
+    extent[:, -1] = -np.inf
+    for row in widest.mapInArrow(least_of, "list int, extent binary").collect():  # a row for each list
+        extent[row["list"]] = np.frombuffer(row["extent"], np.float32)
+        extent[row["list"], -1] *= -1
+    extents = spark.sparkContext.broadcast(extent)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, d = index.value.nearest(_unit(_vectors(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.astype(np.int32) for p in _probes(index.value, d, farthest, extents.value)], pa.list_(pa.int32()))], names=["node", "x", "probes"])
+
+    asked = placed.select("node", "x").mapInArrow(ask, f"node long, x {kind}, probes array<int>").select("node", "x", F.explode("probes").alias("at"))
+    side = max(BLOCK, min(SIDE * BLOCK, SIDE_BYTES // (8 * lengths)))
+    held = placed.groupBy("list").agg(F.ceil(F.count("*") / side).cast("int").alias("parts")).withColumnRenamed("list", "at")
+    asks = asked.groupBy("at").agg(F.ceil(F.count("*") / side).cast("int").alias("askers"))
     plan = F.broadcast(held.join(asks, "at"))  # at most MOST_LISTS rows
     part = F.pmod(F.hash("node", F.lit(11)), F.col("parts"))
     asker = F.pmod(F.hash("node", F.lit(13)), F.col("askers"))
@@ -174,6 +232,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
     query_rows = asked.join(plan, "at").withColumn("asker", asker).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("at", "part", "asker", F.struct("node", "x", *nothing).alias("e"))
     blocks = entry_rows.unionByName(query_rows).groupBy("at", "part", "asker").agg(F.collect_list("e").alias("es")).select("at", "es")
 
+    block = BLOCK
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
@@ -186,31 +246,26 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
                     continue
                 codes = np.frombuffer(b"".join(es.field("codes").take(pa.array(e)).to_pylist()), np.uint8).reshape(len(e), -1)
                 error, n = (es.field(f).take(pa.array(e)).to_numpy(zero_copy_only=False) for f in ("error", "n"))
-                a, b = _match(ix, batch.column(0)[r].as_py(), codes, error, x[e], x[q], least)
-                other = node[q][a] != node[e][b]
-                a, b = a[other], b[other]
-                linked = np.bincount(a, n[b], len(q)).astype(np.int64)
-                low, top = node[q].copy(), node[e].copy()
-                while True:  # the least node that the block's links reach
-                    before = (low.copy(), top.copy())
-                    np.minimum.at(low, a, top[b])
-                    np.minimum.at(top, b, low[a])
-                    if (before[0] == low).all() and (before[1] == top).all():
-                        break
-                u = np.concatenate([node[q], node[e]])
-                v = np.concatenate([low, top])
-                count = np.concatenate([linked, np.zeros(len(e), np.int64)])
-                some = (u != v) | (count > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(u[some]), pa.array(v[some]), pa.array(count[some])], names=["u", "v", "c"])
-
-    found = written(blocks.mapInArrow(search, "u long, v long, c long"), "vectors-links")
-    counts = found.groupBy("u").agg(F.sum("c").alias("c")).withColumnRenamed("u", "node")
-    member = components(found.select("u", "v").where("u <> v").distinct()).withColumnRenamed("component", "root")
-    named = entries.join(counts, "node", "left").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    done = named.join(least_id, "root").select("entry", (F.coalesce("c", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return rows.where("v IS NOT NULL").join(done, "entry").select("vec_id", "n_links", "component_id").unionByName(alone)
+                for lo in range(0, len(q), block):
+                    some_q = q[lo : lo + block]
+                    a, b = _match(ix, batch.column(0)[r].as_py(), codes, error, x[e], x[some_q], least)
+                    other = node[some_q][a] != node[e][b]
+                    a, b = a[other], b[other]
+                    linked = np.bincount(a, n[b], len(some_q)).astype(np.int64)
+                    low, top = node[some_q].copy(), node[e].copy()
+                    while True:  # the least node that the block's links reach
+                        before = (low.copy(), top.copy())
+                        np.minimum.at(low, a, top[b])
+                        np.minimum.at(top, b, low[a])
+                        if (before[0] == low).all() and (before[1] == top).all():
+                            break
+                    u = np.concatenate([node[some_q], node[e]])
+                    v = np.concatenate([low, top])
+                    count = np.concatenate([linked, np.zeros(len(e), np.int64)])
+                    some = (u != v) | (count > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(u[some]), pa.array(v[some]), pa.array(count[some])], names=["u", "v", "c"])
+
+    return written(blocks.mapInArrow(search, "u long, v long, c long"), "vectors-links")
 
 
 def report(vectors: DataFrame, least: float = 0.9) -> DataFrame:

@@ -157,3 +157,34 @@ def test_vectors(spark):
     product_quantisation.BLOCK = was
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert product_quantisation.report(df.where("false")).count() == 0
+
+
+def test_each_length_of_vectors_is_searched(spark):
+    rows = [(i, [1.0, 0.01 * i, 0.0]) for i in range(4)] + [(10 + i, [0.5, 0.01 * i]) for i in range(3)] + [(20, [1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in product_quantisation.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (3, 0) for i in range(4)}, **{10 + i: (2, 10) for i in range(3)}, 20: (0, 20)}
+
+
+def test_probes_cover_a_hot_group_of_few_dimensions():
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(60, 64))
+    wide = centres[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 64))
+    turn = np.linalg.qr(rng.normal(size=(64, 4)))[0]
+    hot = turn[:, 0] * 1.5 + rng.uniform(-1, 1, size=(3000, 2)) @ turn[:, 1:3].T + 0.01 * rng.normal(size=(3000, 64))
+    x = np.concatenate([wide, hot])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    product_quantisation.PER_LIST, was = 150, product_quantisation.PER_LIST
+    index = product_quantisation.fit(x, len(x))
+    product_quantisation.PER_LIST = was
+    assert len(index.coarse) >= 50
+    lists, d = index.nearest(x)
+    some, extent = product_quantisation._extent(index, lists, d)
+    whole = np.full((len(index.coarse), extent.shape[1]), np.inf)
+    whole[:, -1], whole[some] = -np.inf, extent
+    asked = np.zeros((len(x), len(index.coarse)), bool)
+    for i, p in enumerate(product_quantisation._probes(index, d, float(np.sqrt(0.2)), whole)):
+        asked[i, p] = True
+    for lo in range(0, len(x), 1000):
+        a, b = np.nonzero(x[lo : lo + 1000] @ x.T >= 0.9)
+        assert asked[a + lo, lists[b]].all()
+    assert asked[:6000].mean() < 0.7
