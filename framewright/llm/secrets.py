@@ -27,10 +27,13 @@ _KEYWORD = re.compile(r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][K
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_URL = re.compile(r"(?:[^\s%]*%[0-9A-Fa-f]{2})+[^\s%]*")
 _URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE_PART = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_SEPARATOR = re.compile(r"[+/_-]+")
+# No pattern and no run of base64 matches fewer characters, and all of them are ASCII.
+_READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 
 #: A compressed layer is unpacked up to this many bytes; what follows is not scanned, so that a bomb cannot fill a worker.
 MAX_LAYER = 32 << 20
@@ -80,6 +83,10 @@ def _pieces(layer: Layer, a: int, b: int, part: re.Pattern, value) -> Layer:
     data, starts, ends, at = bytearray(), [], [], a
 
     def plain(lo: int, hi: int) -> None:
+        if layer.text[lo:hi].isascii():
+            data.extend(layer.text[lo:hi].encode())
+            starts.extend(layer.starts[lo:hi]), ends.extend(layer.ends[lo:hi])
+            return
         for i in range(lo, hi):
             raw = layer.text[i].encode("utf-8", "surrogatepass")
             data.extend(raw)
@@ -124,27 +131,46 @@ def _unpacked(data: bytes) -> bytes | None:
     return found
 
 
+#: The first two bytes of gzip, zlib, bz2 and xz data.
+_MAGIC = {b"\x1f\x8b", b"BZ", b"\xfd7", *[bytes([0x78, f]) for f in range(256) if (0x7800 + f) % 31 == 0]}
 _TEXT_BYTE = bytes(b for b in range(256) if b in (9, 10, 13) or 32 <= b < 127)
 
 
-def _base64_layer(layer: Layer, a: int, b: int) -> Layer | None:
-    run = layer.text[a:b].rstrip("=")
-    if len(run) % 4 == 1:
-        run = run[:-1]
+def _decoded(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
     try:
-        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+        return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
-        return None
-    inner = _unpacked(data)
-    if inner is not None:
-        s, e = layer.outer(a, b)
-        return _from_bytes(inner, [s] * len(inner), [e] * len(inner))
-    odd = len(data.translate(None, _TEXT_BYTE))
-    if not data or odd and (odd * 3 > len(data) or not _is_utf8(data)):
-        return None
-    starts = [layer.starts[a + i * 4 // 3] for i in range(len(data))]
-    ends = [layer.ends[min(b - 1, a + (i * 8 + 7) // 6)] for i in range(len(data))]
-    return _from_bytes(data, starts, ends)
+        return b""
+
+
+def _base64_layers(layer: Layer, at) -> Iterator[Layer]:
+    """What the characters at the positions ``at``, a run of base64, hold.
+
+    A payload can begin behind other characters of the alphabet. Compressed data is looked for at the run's first four
+    characters and behind each separator; readable text at all four alignments, as a whole or in its readable parts.
+    """
+    run = "".join([layer.text[i] for i in at]).rstrip("=")
+    outer = lambda a, b: (layer.starts[at[a]], layer.ends[at[b - 1]])
+    for first in sorted({0, 1, 2, 3, *[m.end() for m in _SEPARATOR.finditer(run)], *[m.start() for m in _SEPARATOR.finditer(run)]}):
+        if _decoded(run[first : first + 8])[:2] in _MAGIC:
+            inner = _unpacked(_decoded(run[first:]))
+            if inner is not None:
+                s, e = outer(first, len(at))
+                yield _from_bytes(inner, [s] * len(inner), [e] * len(inner))
+    for first in range(4):
+        data = _decoded(run[first:])
+        odd = len(data.translate(None, _TEXT_BYTE))
+        if not data:
+            continue
+        if not odd or not first and odd * 3 <= len(data) and _is_utf8(data):
+            parts = [(0, len(data))]
+        else:
+            parts = [m.span() for m in _READABLE.finditer(data)]
+        for lo, hi in parts:
+            starts = [layer.starts[at[first + i * 4 // 3]] for i in range(lo, hi)]
+            ends = [layer.ends[at[min(len(at) - 1, first + (i * 8 + 7) // 6)]] for i in range(lo, hi)]
+            yield _from_bytes(data[lo:hi], starts, ends)
 
 
 def _is_utf8(data: bytes) -> bool:
@@ -158,25 +184,17 @@ def _is_utf8(data: bytes) -> bool:
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers that are directly inside this one."""
     text = layer.text
-    if "%" in text:
-        for m in _URL.finditer(text):
-            yield _pieces(layer, m.start(), m.end(), _URL_PART, lambda s: bytes.fromhex(s.replace("%", "")))
-    if "\\" in text or "&#" in text:
-        last = -1
-        for m in _UNICODE_PART.finditer(text):
-            if m.start() < last:
-                continue
-            a, b = m.start(), m.end()  # the word around it
-            while a > 0 and not text[a - 1].isspace():
-                a -= 1
-            while b < len(text) and not text[b].isspace():
-                b += 1
-            last = b
-            yield _pieces(layer, a, b, _UNICODE_PART, _escape)
+    if _URL_PART.search(text):
+        yield _pieces(layer, 0, len(text), _URL_PART, lambda s: bytes.fromhex(s.replace("%", "")))
+    if ("\\" in text or "&#" in text) and _UNICODE_PART.search(text):
+        yield _pieces(layer, 0, len(text), _UNICODE_PART, _escape)
     for m in _BASE64.finditer(text):
-        found = _base64_layer(layer, m.start(), m.end())
-        if found is not None:
-            yield found
+        yield from _base64_layers(layer, range(m.start(), m.end()))
+    for m in _WRAPPED.finditer(text):
+        at = [i for i in range(m.start(), m.end()) if not text[i].isspace()]
+        yield from _base64_layers(layer, at)
+        last = max(text.rfind("\n", m.start(), m.end()), m.start())
+        yield from _base64_layers(layer, [i for i in at if i < last])  # the last line can be other text
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

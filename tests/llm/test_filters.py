@@ -125,6 +125,25 @@ def test_secret_patterns_and_layers(spark):
     assert secrets.report(df.where("false")).count() == 0
 
 
+def test_secrets_across_words_lines_and_alignments():
+    rng = random.Random(5)
+    value = "abcdefghijkl123456"
+    s = f'token = "{value}"'
+    noise = "".join(rng.choices("ghijklmnopqrstuvwxyz \n", k=900))
+    wrap = lambda raw, k: "\n".join(raw[i : i + k] for i in range(0, len(raw), k))
+    code = lambda raw: base64.b64encode(raw).decode()
+    cases = ["{\\u0022password\\u0022: \\u0022" + value + "\\u0022}", f"password%3D {value}", f"&#34;token&#34;: &#34;{value}&#34;"]
+    cases += [wrap(code((noise + s + noise).encode()), 76), wrap(code(gzip.compress((noise + s).encode())), 64), wrap(code(s.encode()), 20) + "\nthe end of it"]
+    cases += [f"{before}{code(s.encode())}" for before in ("x", "ab", "key", "config/", "a-b_c/")]
+    cases += [f"{before}{code(gzip.compress(s.encode()))}" for before in ("x", "config/", "a-b_cd/")]
+    for text in cases:
+        t = f"hé {text} . ok"
+        base, every = secrets.scan_text(t)
+        found = [x for x in every if x not in base and x[2] == "assign"]
+        assert found and all(3 <= a < e <= 3 + len(text) for a, e, _ in found), text
+        assert secrets.redacted(t).startswith("hé ") and secrets.redacted(t).endswith(" . ok")
+
+
 def plain_pii(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
