@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,16 +30,22 @@ _KEYWORD = re.compile(r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][K
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE_PART = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_URL_PART = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
+_UNICODE_PART = re.compile(rb"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
-_SEPARATOR = re.compile(r"[+/_-]+")
+# Begins where a run begins, so that a long run is read once.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}")
+_SEPARATOR = re.compile(r"[+/]+")
 # No pattern and no run of base64 matches fewer characters, and all of them are ASCII.
 _READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 
-#: A compressed layer is unpacked up to this many bytes; what follows is not scanned, so that a bomb cannot fill a worker.
-MAX_LAYER = 32 << 20
+#: Bytes that an unpacker gives at once, that are looked at to see whether they are packed again, and that make a window.
+CHUNK, HEAD, WINDOW = 1 << 18, 1 << 20, 4 << 20
+#: No pattern, escape or run of base64 has one of these bytes, so a window can end behind them.
+_BREAKS = bytes(b for b in range(128) if chr(b) not in "\t\n\r +/_.=-\"':%\\&#;{}" and not chr(b).isalnum())
+#: A run of one byte that is longer than twice this is shortened to about this length in unpacked windows (by whole groups of
+#: twelve, as base64 goes by four and three); no pattern tells the two apart.
+SAME = 12 << 10
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -51,18 +60,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """A decoded text and, for each of its characters, the span of the outermost text that it came from."""
+    """A decoded text and, for each of its characters, the span of the outermost text that it came from.
+
+    What is unpacked has one span for all its characters: a view of one number, not a number for each.
+    """
 
     __slots__ = ("text", "starts", "ends")
 
-    def __init__(self, text: str, starts, ends):
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
         self.text, self.starts, self.ends = text, starts, ends
 
     def outer(self, a: int, b: int) -> tuple[int, int]:
-        return self.starts[a], self.ends[b - 1]
+        return int(self.starts[a]), int(self.ends[b - 1])
 
 
-def _from_bytes(data: bytes, starts: list[int], ends: list[int]) -> Layer:
+def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer:
     """Characters of UTF-8 bytes (Latin-1 where they are not UTF-8), each with the span of its bytes."""
     try:
         text = data.decode("utf-8")
@@ -70,65 +82,143 @@ def _from_bytes(data: bytes, starts: list[int], ends: list[int]) -> Layer:
         return Layer(data.decode("latin-1"), starts, ends)
     if len(text) == len(data):
         return Layer(text, starts, ends)
-    at, s, e = 0, [], []
-    for c in text:
-        n = len(c.encode("utf-8"))
-        s.append(starts[at]), e.append(ends[at + n - 1])
-        at += n
-    return Layer(text, s, e)
-
-
-def _pieces(layer: Layer, a: int, b: int, part: re.Pattern, value) -> Layer:
-    """The characters a..b with each match of ``part`` replaced by the bytes of ``value``; they carry the match's span."""
-    data, starts, ends, at = bytearray(), [], [], a
-
-    def plain(lo: int, hi: int) -> None:
-        if layer.text[lo:hi].isascii():
-            data.extend(layer.text[lo:hi].encode())
-            starts.extend(layer.starts[lo:hi]), ends.extend(layer.ends[lo:hi])
-            return
-        for i in range(lo, hi):
-            raw = layer.text[i].encode("utf-8", "surrogatepass")
-            data.extend(raw)
-            starts.extend([layer.starts[i]] * len(raw)), ends.extend([layer.ends[i]] * len(raw))
-
-    for m in part.finditer(layer.text, a, b):
-        plain(at, m.start())
-        raw, (s, e) = value(m[0]), layer.outer(m.start(), m.end())
-        data.extend(raw)
-        starts.extend([s] * len(raw)), ends.extend([e] * len(raw))
+    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    return Layer(text, starts[first], ends[np.append(first[1:], len(data)) - 1])
+
+
+def _replaced(layer: Layer, part: re.Pattern, value, each: int = 0) -> Layer | None:
+    """The layer with each match of ``part`` replaced by the bytes of ``value``; None without one. A byte carries the span of
+    the ``each`` characters that it was written with, or of the whole match."""
+    raw = layer.text.encode("utf-8", "surrogatepass")
+    out, sizes, firsts, lasts, steps, at = [], [], [], [], [], 0
+    for m in part.finditer(raw):
+        new = value(m[0])
+        out += [raw[at : m.start()], new]
+        sizes += [m.start() - at, len(new)]
+        firsts += [at, m.start()]
+        lasts += [0, m.end() - 1]
+        steps += [1, each]
         at = m.end()
-    plain(at, b)
-    return _from_bytes(bytes(data), starts, ends)
-
-
-def _escape(s: str) -> bytes:
+    if not out:
+        return None
+    out.append(raw[at:]), sizes.append(len(raw) - at), firsts.append(at), lasts.append(0), steps.append(1)
+    size = np.array(sizes)
+    step = np.repeat(np.array(steps), size)
+    inside = np.arange(len(step)) - np.repeat(np.cumsum(size) - size, size)
+    begin = np.repeat(np.array(firsts), size) + inside * step
+    end = np.where(step > 0, begin + step - 1, np.repeat(np.array(lasts), size))
+    starts, ends = layer.starts, layer.ends
+    if len(raw) != len(layer.text):
+        char = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+        begin, end = char[begin], char[end]
+    return _from_bytes(b"".join(out), starts[begin], ends[end])
+
+
+def _percent(part: bytes) -> bytes:
+    return bytes.fromhex(part.replace(b"%", b"").decode())
+
+
+def _escape(part: bytes) -> bytes:
+    s = part.decode()
     if s[0] == "&":
         return html.unescape(s).encode("utf-8", "replace")
     code = int(s[2:].strip("{}"), 16)
     return (chr(code) if code < 0xD800 or 0xE000 <= code <= 0x10FFFF else "\ufffd").encode()
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What gzip, zlib, bz2 or xz data holds, layer by layer while the content is new; None if it is none of them."""
-    seen, found = set(), None
-    while data not in seen:
-        seen.add(data)
-        try:
-            if data[:2] == b"\x1f\x8b":
-                data = zlib.decompressobj(31).decompress(data, MAX_LAYER)
-            elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-                data = zlib.decompressobj().decompress(data, MAX_LAYER)
-            elif data[:3] == b"BZh":
-                data = bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
-            elif data[:6] == b"\xfd7zXZ\x00":
-                data = lzma.LZMADecompressor().decompress(data, MAX_LAYER)
-            else:
+def _unpacker(head: bytes):
+    """What unpacks data that begins so; None if it is no gzip, zlib, bz2 or xz data."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What packed data holds, member after member, CHUNK by CHUNK, up to where it ends, breaks or is something else."""
+    held, engine = b"", None
+    for chunk in chunks:
+        held += chunk
+        while True:
+            if engine is None:
+                if len(held) < 6:
+                    break
+                engine = _unpacker(held)
+                if engine is None:
+                    return
+            try:
+                out = engine.decompress(held, CHUNK)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                return
+            if out:
+                yield out
+            if engine.eof:  # another member may follow, behind padding
+                held, engine = engine.unused_data.lstrip(b"\0"), None
+                continue
+            held = getattr(engine, "unconsumed_tail", b"")
+            if not held and (engine.needs_input if hasattr(engine, "needs_input") else len(out) < CHUNK):
                 break
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+
+
+def _innermost(chunks: Iterator[bytes], seen: frozenset = frozenset()) -> Iterator[bytes]:
+    """What packed data holds, unpacked again while that is packed too; a beginning that was met before ends a cycle."""
+    found, head = _unpacked(chunks), b""
+    for chunk in found:
+        head += chunk
+        if len(head) >= HEAD:
             break
-        found = data
-    return found
+    if not head:
+        return
+    mark, whole = _digest(head), itertools.chain([head], found)
+    if mark not in seen and next(_unpacked(iter([head])), None) is not None:
+        yield from _innermost(whole, seen | {mark})
+    else:
+        yield from whole
+
+
+def _shortened(data: bytearray) -> bytearray:
+    """``data`` with long runs of one byte cut short."""
+    ends = data[::SAME]
+    for i in range(len(ends) - 1):
+        if ends[i] == ends[i + 1] and data.count(ends[i], i * SAME, (i + 1) * SAME) == SAME:
+            return bytearray(re.sub(rb"(?s)(.)\1{%d,}" % (2 * SAME - 1), lambda m: m[1] * (SAME + (len(m[0]) - SAME) % 12), bytes(data)))
+    return data
+
+
+def _cut(data: bytearray) -> int:
+    """The last place where no match can cross: behind a byte that none has, or a line that does not end in a run of base64."""
+    best = max(data.rfind(b) for b in _BREAKS) + 1
+    at = data.rfind(b"\n", best)
+    while at >= best:
+        line = bytes(data[max(0, at - 4096) : at]).rstrip(b" \t\r")
+        if line and not _RUN_END.search(line):
+            return at + 1
+        at = data.rfind(b"\n", best, at)
+    return best
+
+
+_RUN_END = re.compile(rb"[A-Za-z0-9+/_-]{16}\Z")
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """``chunks`` in windows that no match, escape or run of base64 crosses; only a run without any break grows a window."""
+    held, enough = bytearray(), WINDOW
+    for chunk in chunks:
+        held += chunk
+        if len(held) < enough:
+            continue
+        held = _shortened(held)
+        if cut := _cut(held):
+            yield bytes(held[:cut])
+            del held[:cut]
+        enough = max(WINDOW, 2 * len(held))
+    if held:
+        yield bytes(_shortened(held))
 
 
 #: The first two bytes of gzip, zlib, bz2 and xz data.
@@ -139,25 +229,23 @@ _TEXT_BYTE = bytes(b for b in range(256) if b in (9, 10, 13) or 32 <= b < 127)
 def _decoded(run: str) -> bytes:
     run = run[: len(run) - (len(run) % 4 == 1)]
     try:
-        return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+        return base64.b64decode(run + "=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
         return b""
 
 
-def _base64_layers(layer: Layer, at) -> Iterator[Layer]:
-    """What the characters at the positions ``at``, a run of base64, hold.
+def _base64_layers(layer: Layer, at: np.ndarray, run: str) -> Iterator[Layer]:
+    """What ``run``, the base64 characters at the positions ``at``, holds.
 
     A payload can begin behind other characters of the alphabet. Compressed data is looked for at the run's first four
     characters and behind each separator; readable text at all four alignments, as a whole or in its readable parts.
     """
-    run = "".join([layer.text[i] for i in at]).rstrip("=")
-    outer = lambda a, b: (layer.starts[at[a]], layer.ends[at[b - 1]])
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
     for first in sorted({0, 1, 2, 3, *[m.end() for m in _SEPARATOR.finditer(run)], *[m.start() for m in _SEPARATOR.finditer(run)]}):
         if _decoded(run[first : first + 8])[:2] in _MAGIC:
-            inner = _unpacked(_decoded(run[first:]))
-            if inner is not None:
-                s, e = outer(first, len(at))
-                yield _from_bytes(inner, [s] * len(inner), [e] * len(inner))
+            s, e = int(layer.starts[at[first]]), int(layer.ends[at[-1]])
+            for window in _windows(_innermost(_decoded(run[i : i + CHUNK]) for i in range(first, len(run), CHUNK))):
+                yield _from_bytes(window, np.broadcast_to(np.int64(s), len(window)), np.broadcast_to(np.int64(e), len(window)))
     for first in range(4):
         data = _decoded(run[first:])
         odd = len(data.translate(None, _TEXT_BYTE))
@@ -168,8 +256,9 @@ def _base64_layers(layer: Layer, at) -> Iterator[Layer]:
         else:
             parts = [m.span() for m in _READABLE.finditer(data)]
         for lo, hi in parts:
-            starts = [layer.starts[at[first + i * 4 // 3]] for i in range(lo, hi)]
-            ends = [layer.ends[at[min(len(at) - 1, first + (i * 8 + 7) // 6)]] for i in range(lo, hi)]
+            i = np.arange(lo, hi)
+            starts = layer.starts[at[first + i * 4 // 3]]
+            ends = layer.ends[at[np.minimum(len(at) - 1, first + (i * 8 + 7) // 6)]]
             yield _from_bytes(data[lo:hi], starts, ends)
 
 
@@ -184,40 +273,48 @@ def _is_utf8(data: bytes) -> bool:
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers that are directly inside this one."""
     text = layer.text
-    if _URL_PART.search(text):
-        yield _pieces(layer, 0, len(text), _URL_PART, lambda s: bytes.fromhex(s.replace("%", "")))
-    if ("\\" in text or "&#" in text) and _UNICODE_PART.search(text):
-        yield _pieces(layer, 0, len(text), _UNICODE_PART, _escape)
+    if "%" in text and (inner := _replaced(layer, _URL_PART, _percent, 3)):
+        yield inner
+    if ("\\" in text or "&#" in text) and (inner := _replaced(layer, _UNICODE_PART, _escape)):
+        yield inner
     for m in _BASE64.finditer(text):
-        yield from _base64_layers(layer, range(m.start(), m.end()))
+        yield from _base64_layers(layer, np.arange(m.start(), m.end()), m[0])
     for m in _WRAPPED.finditer(text):
-        at = [i for i in range(m.start(), m.end()) if not text[i].isspace()]
-        yield from _base64_layers(layer, at)
-        last = max(text.rfind("\n", m.start(), m.end()), m.start())
-        yield from _base64_layers(layer, [i for i in at if i < last])  # the last line can be other text
+        run = "".join(m[0].split())
+        at = m.start() + np.flatnonzero(~np.isin(np.frombuffer(m[0].encode(), np.uint8), (9, 10, 13, 32)))
+        yield from _base64_layers(layer, at, run)
+        kept = int(np.searchsorted(at, m.start() + max(m[0].rfind("\n"), 0)))
+        if kept:
+            yield from _base64_layers(layer, at[:kept], run[:kept])  # the last line can be other text
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of a text. All spans add those of nested layers, mapped to the text that holds them.
 
-    The worklist starts with the text; each layer is scanned, and its layers join the list unless the same content at the
-    same place was seen, which ends cycles.
+    The worklist starts with the text and goes depth first; each layer is scanned, and its own layers are unwrapped one by
+    one, unless the same content at the same place was seen, which ends cycles. Packed layers are unpacked to their end,
+    window by window, so memory follows the text and the longest unbroken run, not what a bomb unpacks to.
     """
     base = base_spans(text)
-    spans = set(base)
-    outer = Layer(text, range(len(text)), range(1, len(text) + 1))
-    seen, work = {(0, len(text), text)}, list(unwrap(outer))
+    spans, seen = set(base), {(0, len(text), _digest(text.encode("utf-8", "surrogatepass")))}
+    work = [unwrap(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1)))]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if not layer.text:
             continue
-        mark = (*layer.outer(0, len(layer.text)), layer.text)
+        mark = (*layer.outer(0, len(layer.text)), _digest(layer.text.encode("utf-8", "surrogatepass")))
         if mark in seen:
             continue
         seen.add(mark)
-        for a, b, kind in base_spans(layer.text):
-            spans.add((*layer.outer(a, b), kind))
-        work.extend(unwrap(layer))
+        spans.update((*layer.outer(a, b), kind) for a, b, kind in base_spans(layer.text))
+        work.append(unwrap(layer))
     return base, sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
