@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, product_quantisation
+from . import decontaminate, product_quantisation, url_filter
 from ._session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op9_product_quantisation": product_quantisation.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_product_quantisation": product_quantisation.ORACLE}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -75,8 +75,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import url_filter
-
     return url_filter.report(table(spark, sf_dir, "pages"))
 
 
