@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +44,10 @@ WITH RECURSIVE rounds(round, word, pos, token) AS (
 SELECT round, word, pos, token FROM rounds
 """
 
-#: The bytes of each word's ids, in order.
-DECODE_SQL = "SELECT word, list(bytes ORDER BY i) AS parts FROM ids JOIN vocabulary USING (token) GROUP BY word"
+#: The bytes of each document's ids, in order; the column's data are the documents' bytes one after another.
+DECODE_SQL = "SELECT i, bytes FROM ids JOIN vocabulary USING (token) ORDER BY i"
+#: Ids that one decoding query takes.
+DECODE_IDS = 500_000
 
 
 class ByteBpe:
@@ -63,7 +66,7 @@ class ByteBpe:
                     left.append(a), right.append(b), rank.append(r)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False, "temp_directory": ""})
         if max(self.ranks.values()) >= 1 << 31:
             raise ValueError("ranks must fit 31 bits")
         merges = pa.table({"pair": np.array(left, np.int64) * PAIR + np.array(right, np.int64), "rank": np.array(rank, np.int64)})  # noqa: F841
@@ -147,27 +150,27 @@ class ByteBpe:
                 if rows > QUERY_ROWS:
                     flush()
         flush()
-        return [(len(i), ",".join(map(str, i)).encode(), d) for i, d in zip(ids, self.decode_many(ids), strict=True)]
-
-    def decode_many(self, lists: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids, by ordered aggregation; single ids by lookup."""
-        out: list = [b""] * len(lists)
-        at = []
-        for i, x in enumerate(lists):
-            if len(x) == 1:
-                out[i] = self.bytes_of[x[0]]
-            elif x:
-                at.append(i)
-        for lo in range(0, len(at), 20_000):
-            part = at[lo : lo + 20_000]
-            size = np.fromiter((len(lists[i]) for i in part), np.int64, len(part))
-            token = np.fromiter((t for i in part for t in lists[i]), np.int64, int(size.sum()))
-            self.db.register("ids", pa.table({"word": np.repeat(np.array(part), size), "i": np.arange(len(token)), "token": token}))
-            got = self.db.sql(DECODE_SQL).to_arrow_table()
+        return [(len(i), ",".join(map(str, i)).encode(), np.array(i, np.int32).tobytes()) for i in ids]
+
+    def decode_many(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of lists of ids, one after another in ``ids``, by ordered aggregation. An unknown id fails."""
+        length, parts = [], []
+        for lo in range(0, len(ids), DECODE_IDS):
+            some = np.ascontiguousarray(ids[lo : lo + DECODE_IDS].astype(np.int64))
+            self.db.register("ids", pa.table({"i": np.arange(len(some), dtype=np.int32), "token": some}))
+            got = self.db.sql(DECODE_SQL).to_arrow_table()["bytes"]
             self.db.unregister("ids")
-            for w, d in zip(got["word"].to_pylist(), got["parts"].to_pylist(), strict=True):
-                out[w] = b"".join(d)
-        return out
+            if len(got) != len(some):
+                raise ValueError("an id is not in the vocabulary")
+            for chunk in got.chunks:
+                _, offsets, data = chunk.cast(pa.large_binary()).buffers()
+                bounds = np.frombuffer(offsets, np.int64, len(chunk) + 1 + chunk.offset)[chunk.offset :]
+                length.append(np.diff(bounds))
+                parts.append(memoryview(data)[int(bounds[0]) : int(bounds[-1])] if len(chunk) else b"")
+        whole = b"".join(parts)
+        ends = np.concatenate(([0], np.cumsum(np.concatenate(length)) if length else np.zeros(0, np.int64)))
+        cuts = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def of(self, keys: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         return self.memo.fill(keys, self._work)
@@ -200,9 +203,11 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             ids, n = [], []
             for _, parts in _texts(bpe, batch.column(at)):
-                ids.append([int(i) for p in parts for i in p[1].split(b",")])
-                n.append(len(ids[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=[*batch.schema.names, "ids", "n_tokens"])
+                n.append(sum([p[0] for p in parts]))
+                ids.append(b"".join([p[2] for p in parts]))
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n, dtype=np.int64))).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(n, pa.int64())], names=[*batch.schema.names, "ids", "n_tokens"])
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]))
 
@@ -216,30 +221,46 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(("bytes", ranks_path), lambda: ByteBpe(ranks_path))
         for batch in batches:
-            lists = batch.column(at).to_pylist()
-            for x in lists:
-                if x and any(i not in bpe.bytes_of for i in x):
-                    raise ValueError("an id is not in the vocabulary")
-            out = bpe.decode_many([x or [] for x in lists])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else d for x, d in zip(lists, out, strict=True)], pa.binary())], names=[*batch.schema.names, "decoded"])
+            lists = batch.column(at)
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("an id is not in the vocabulary")
+            sizes = np.array(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            out = bpe.decode_many(flat.to_numpy(zero_copy_only=False), sizes)
+            known = lists.is_valid().to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d if k else None for k, d in zip(known, out, strict=True)], pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(df: DataFrame, ranks_path: str, keep: list[str]) -> DataFrame:
-    """``keep``, n_tokens, ids_sha256 and decoded_sha256 of each row's ``text``: digests of the ids and of what they decode to."""
+    """``keep``, n_tokens, ids_sha256 and decoded_sha256 of each row's ``text``: digests of the ids and of what they decode to.
+
+    Each document's own ids are decoded, slice by slice, not what its pieces were. Null is empty; repeated rows stay.
+    """
     bound_batches(df.sparkSession)
-    src = df.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = src.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    src = df.select(*keep, F.col("text").cast("string").alias("text of " + "_".join(keep)))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(("bytes", ranks_path), lambda: ByteBpe(ranks_path))
         for batch in batches:
-            n, ids, decoded = [], [], []
+            n, digests, decoded, flat, first, held = [], [], [], [], 0, 0
+
+            def flush() -> None:
+                nonlocal flat, first, held
+                out = bpe.decode_many(np.frombuffer(b"".join(flat), np.int32), np.array(n[first:], np.int64))
+                decoded.extend(hashlib.sha256(d).hexdigest() for d in out)
+                flat, first, held = [], len(n), 0
+
             for _, parts in _texts(bpe, batch.column(batch.num_columns - 1)):
                 n.append(sum([p[0] for p in parts]))
-                ids.append(hashlib.sha256(b",".join([p[1] for p in parts])).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
+                digests.append(hashlib.sha256(b",".join([p[1] for p in parts])).hexdigest())
+                flat.append(b"".join([p[2] for p in parts]))
+                held += n[-1]
+                if held >= DECODE_IDS:
+                    flush()
+            flush()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
     return src.mapInArrow(run, schema)
