@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._session import unused, written
+
 #: A word after A-Z are lower-cased, and before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -75,6 +77,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs``; edge cases as in ``scan``."""
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return scan(docs, benchmark, width).select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
@@ -87,14 +90,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
     names = docs.columns
-    bad = scan(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("hits").alias("__hits")).distinct()
+    named = {n: unused(n, *names) for n in ("bad id", "bad key", "bad hits", "bad words", "bad gaps")}
+    id_, key_, hits, raw, gaps = named.values()
+    bad = scan(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), F.col("hits").alias(hits)).distinct()
     key = F.concat_ws(":", F.xxhash64("text"), F.octet_length("text"))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    match = F.col("doc_id").eqNullSafe(F.col(f"`{id_}`")) & (key == F.col(f"`{key_}`"))
     if remove == "documents":
-        return docs.join(bad, match, "left_anti")
-    rows = docs.join(bad, match, "left").withColumn("__raw", F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0))).withColumn("__gaps", F.split("text", RAW_WORD, -1))
-    kept = F.expr("concat(__gaps[0], array_join(transform(__raw, (w, i) -> concat(if(exists(__hits, x -> i >= x.pos AND i < x.pos + x.len), '', w), get(__gaps, i + 1))), ''))")
-    return rows.withColumn("text", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(kept)).select(*names)
+        bad = written(bad.select(f"`{id_}`", f"`{key_}`"), "contaminated")
+        size = bad.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(f"`{key_}`") + 64), F.lit(0))).first()[1]
+        # A row for each bad text: broadcast where it is small, so that the texts are not shuffled.
+        return docs.join(F.broadcast(bad) if size <= BROADCAST_BYTES // 4 else bad, match, "left_anti")
+    rows = docs.join(bad, match, "left").withColumn(raw, F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0))).withColumn(gaps, F.split("text", RAW_WORD, -1))
+    left = F.expr(f"concat(`{gaps}`[0], array_join(transform(`{raw}`, (w, i) -> concat(if(exists(`{hits}`, x -> i >= x.pos AND i < x.pos + x.len), '', w), get(`{gaps}`, i + 1))), ''))")
+    return rows.withColumn("text", F.when(F.col(f"`{hits}`").isNull(), F.col("text")).otherwise(left)).select(*[F.col(f"`{n}`") for n in names])
 
 
 #: The same report in DuckDB.

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._session import bound_batches, written
+from ._session import bound_batches, unused, written
 from .components import components
 
 #: Fingerprints of a block that one group holds; larger blocks are split in parts that meet in pairs.
@@ -44,8 +45,9 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 5, out: str = "
     blank texts have fingerprint zero. Every row gives one row; a column named ``out`` is replaced.
     """
     bound_batches(df.sparkSession)
-    src = df.select(*[c for c in df.columns if c not in (text, out)], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = src.drop("__text").schema.add(out, "long")
+    keep = [c for c in df.columns if c.lower() not in (text.lower(), out.lower())]
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused("text", *keep)))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,6 +145,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, distance: int = 3) -
 
 
 def report(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of each row; edge cases as in ``near_duplicate_classes``."""
     rows = near_duplicate_classes(docs, width, distance)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._session import bound_batches
+from ._session import bound_batches, unused
 from ._text import Recent, once, pieces, text_slices, word_starts
 
 #: Hashed features: a word, its first four and its first five letters; a run of punctuation.
@@ -156,8 +156,8 @@ def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 def _sparse(df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and the feature ids and shares of each row's text, worked out on the executors."""
-    src = df.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = src.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("shares", T.ArrayType(T.FloatType()))
+    src = df.select(*keep, F.col("text").cast("string").alias(unused("text", *keep)))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = once(("features", DIMS), lambda: Recent(80_000))
@@ -210,16 +210,15 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataF
     """``keep`` (all columns if None) with ``p_<category>`` (double) and ``toxic`` (boolean) for each row.
 
     Whole texts are scored: a category's score is the mean of its words' weights, each worked out once per distinct word, so
-    it does not depend on length. Texts that are null or have no word are not toxic. Columns of these names are replaced.
+    it does not depend on length. Texts that are null or have no word are not toxic. Columns of these names, in any case, are
+    replaced; repeated rows stay; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     names = [f"p_{c}" for c in chain.categories]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "toxic")]
-    src = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = src.drop("__text").schema
-    for n in names:
-        schema = schema.add(n, "double")
-    schema = schema.add("toxic", "boolean")
+    taken = {n.lower() for n in (*names, "toxic")}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(unused("text", *keep)))
+    schema = T.StructType([*src.schema.fields[:-1], *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("toxic", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast((chain, np.column_stack([*chain.weights, np.zeros(DIMS)]).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
