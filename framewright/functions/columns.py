@@ -23,6 +23,11 @@ def frame_count(last_end: Column, rate: float) -> Column:
     return F.coalesce(((last_end + 1) * F.lit(float(rate))).cast("int"), F.lit(0))
 
 
+def audio_frames(samples: Column, sample_rate: int, frame_rate: float) -> Column:
+    """How many frames a codec makes of so many samples: a last partial frame counts."""
+    return F.ceil(samples / F.lit(sample_rate / frame_rate)).cast("long")
+
+
 def strip_any(word: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(word, r"(?U)^\s+|(?U)\s+$", "")

@@ -15,15 +15,17 @@ from ..functions.tokenizers import stand_in_id, stand_in_pieces
 KEY = ["dialogue_id", "speaker"]
 
 
-def quarantine(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def quarantine(words: DataFrame, spaces: bool = True) -> tuple[DataFrame, DataFrame]:
     """(good words, (dialogue_id, error)): a dialogue goes aside as a whole, and no row ends the job.
 
-    It needs both speakers A and B with words, complete rows, and words that last and do not start before zero.
+    It needs both speakers A and B with words, and complete rows that do not start before zero. A word without characters has
+    no time to share: none may be empty, and with ``spaces`` the first one of a speaker, which gets no space, not blank either.
     """
     bad_row = F.col("word").isNull() | F.col("start").isNull() | F.col("end").isNull() | F.isnan("start") | F.isnan("end") | (F.col("start") < 0)
-    stats = words.groupBy("dialogue_id").agg(
-        F.max(F.col("speaker") == "A").alias("a"), F.max(F.col("speaker") == "B").alias("b"), F.max(bad_row).alias("bad"), F.max(F.length(F.coalesce("word", F.lit(""))) == 0).alias("blank")
-    )
+    first = F.min(F.when(~bad_row, F.struct("start", "pos", "word"))).alias("first")
+    streams = words.groupBy("dialogue_id", "speaker").agg(first, F.max(bad_row).alias("bad"), F.max(F.length(F.coalesce("word", F.lit(""))) == 0).alias("empty"))
+    blank = F.col("speaker").isin("A", "B") & (F.length(strip_any(F.col("first.word"))) == 0) & F.lit(spaces)
+    stats = streams.groupBy("dialogue_id").agg(F.max(F.col("speaker") == "A").alias("a"), F.max(F.col("speaker") == "B").alias("b"), F.max("bad").alias("bad"), F.max(F.coalesce(blank, F.lit(False)) | (F.col("empty") & F.lit(not spaces))).alias("blank"))
     error = (
         F.when(~F.coalesce("a", F.lit(False)) | ~F.coalesce("b", F.lit(False)), "a speaker has no words").when(F.coalesce("bad", F.lit(True)), "a word is incomplete or starts before zero").when(F.col("blank"), "a word is empty")
     )
@@ -52,13 +54,24 @@ def word_tokens(spaced: DataFrame, pieces: Callable[[Column], Column] = stand_in
     return rows.select(*KEY, "token_idx", "token", ids(F.col("token")).alias("token_id"), (F.col("b1") - F.length("token")).alias("b0"), "b1")
 
 
+def stream_tokens(spaced: DataFrame, encode: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(tokens as ``word_tokens`` gives them, (dialogue_id, speaker, error)) of an encoder that reads a speaker's whole text.
+
+    ``encode`` gives struct TOKEN_LIST. Tokens may cross words; those that stand for no character are not among them.
+    """
+    whole = spaced.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda w: w["text"]), "").alias("text"))
+    coded = whole.select(*KEY, encode(F.col("text")).alias("x"))
+    rows = coded.where("x.error IS NULL").select(*KEY, F.posexplode("x.tokens").alias("token_idx", "t"))
+    return rows.select(*KEY, "token_idx", "t.token", "t.token_id", "t.b0", "t.b1"), coded.where("x.error IS NOT NULL").select(*KEY, "x.error")
+
+
 def token_alignment(spaced: DataFrame, tokens: DataFrame) -> DataFrame:
     """``tokens`` with the start of their first character and the end of their last one.
 
     A word's time is shared evenly by its characters. Which word holds a character is an as-of lookup: words and token ends
     are put in one order by character, and each end takes the last word before it. That is one pass over a sorted stream,
     where a join on ranges would compare every token with every word of its stream. Streams whose tokens and words differ
-    in length are left out; see ``length_mismatch``.
+    in length come out wrong; ``align_or_set_aside`` takes their dialogues out.
     """
     span = F.struct("start", "end", "c0", "c1")
     nothing = F.lit(None).cast("struct<start:double,end:double,c0:bigint,c1:bigint>")
@@ -151,7 +164,26 @@ def text_stream_grid(cells: DataFrame, config: StreamConfig = DEFAULT) -> DataFr
     return grouped.select(*KEY, grid.alias("text"))
 
 
+def align_or_set_aside(words: DataFrame, pieces=stand_in_pieces, ids=stand_in_id, encode: Callable[[Column], Column] | None = None, spaces: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(aligned tokens, (dialogue_id, error)): every failure sets its whole dialogue aside, with the first error by name.
+
+    Failures are those of ``quarantine``, texts that ``encode`` (a whole-text encoder, in place of ``pieces`` and ``ids``)
+    cannot take, and streams whose tokens do not cover their words' characters.
+    """
+    good, bad = quarantine(words, spaces)
+    spaced = spaced_words(good, spaces)
+    tokens, failed = (word_tokens(spaced, pieces, ids), None) if encode is None else stream_tokens(spaced, encode)
+    errors = bad.unionByName(length_mismatch(spaced, tokens).select("dialogue_id", "error"))
+    if failed is not None:
+        coded = failed.select("dialogue_id", F.lit("the encoder cannot take the text").alias("error"))
+        errors = errors.unionByName(coded)
+    errors = errors.groupBy("dialogue_id").agg(F.min("error").alias("error"))
+    aside = errors.select("dialogue_id")
+    return token_alignment(spaced.join(aside, "dialogue_id", "left_anti"), tokens.join(aside, "dialogue_id", "left_anti")), errors
+
+
 def framed_tokens(words: DataFrame, config: StreamConfig = DEFAULT, pieces=stand_in_pieces, ids=stand_in_id) -> DataFrame:
+    """Aligned tokens with frames, by a word-by-word encoder that covers every character, as the stand-in does."""
     good, _ = quarantine(words)
     spaced = spaced_words(good)
     return with_frames(token_alignment(spaced, word_tokens(spaced, pieces, ids)), config)

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.config import StreamConfig
-from framewright.functions.columns import ceil_div, frame_index, natural_key, strip_any
-from framewright.functions.tokenizers import merge_byte_pieces
+from framewright.functions.columns import audio_frames, ceil_div, frame_index, natural_key, strip_any
+from framewright.functions.tokenizers import ascii_pieces, character_tokens, sentencepiece_encoder
 from framewright.operators import alignment
 from framewright.schemas import WORDS
 
@@ -111,15 +111,51 @@ def test_whole_chain_from_words_to_grid(spark):
     assert alignment.text_streams(spark.createDataFrame([], WORDS)).count() == 0
 
 
-def test_byte_pieces():
-    decode = lambda p: bytes(int(x[3:5], 16) for x in p).decode("utf-8", "replace")
-    assert merge_byte_pieces(["a", "<0xCE>", "<0xB1>", "b"], "aαb", decode) == ["a", "α", "b"]
-    with pytest.raises(ValueError):
-        merge_byte_pieces(["▁a", "<0xCE>", "<0xB1>"], "aα", decode)
+def test_pieces_of_one_character_are_one_token():
+    ids = {"▁a": 5, "b": 6}
+    covered = [("▁", ""), ("▁a", "a"), ("<0xCE>", ""), ("<0xB1>", "α"), ("b", "b")]
+    assert character_tokens(covered, "aαb", lambda t: ids.get(t, 0)) == [("▁a", 5, 0, 1), ("α", 0, 1, 2), ("b", 6, 2, 3)]
+    assert character_tokens([], "", len) == []
+    for broken in (covered[:-1], covered[2:]):
+        with pytest.raises(ValueError):
+            character_tokens(broken, "aαb", len)
+
+
+def test_model_over_whole_streams(spark):
+    public = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    model = public.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    said = {"A": ["hello", "there", "Größe", "漢字", "😀!"], "B": ["α", "été"]}
+    rows = [("d", i, s, w, float(i), i + 0.5) for s, words in said.items() for i, w in enumerate(words)] + [("e", 0, "A", " ", 0.0, 1.0), ("e", 1, "B", "x", 0.0, 1.0)]
+    aligned, aside = alignment.align_or_set_aside(spark.createDataFrame(rows, WORDS), encode=sentencepiece_encoder(model))
+    got = {s: sorted((r["token_idx"], r["token"], r["token_id"], r["start"], r["end"]) for r in aligned.collect() if r["speaker"] == s) for s in "AB"}
+    assert [tuple(r) for r in aside.collect()] == [("e", "a word is empty")]
+    for s, words in said.items():
+        text = " ".join(words)
+        times = _stream_plainly([(w, float(i), i + 0.5) for i, w in enumerate(words)])
+        assert "".join(t[1] for t in got[s]).replace("▁", " ").lstrip(" ") == text
+        at = 0
+        for _, token, token_id, start, end in got[s]:
+            n = len(token) - (at == 0 and token.startswith("▁"))
+            assert (start, end) == (pytest.approx(times[at][0]), pytest.approx(times[at + n - 1][1])) and token_id == sp.piece_to_id(token)
+            at += n
+        assert at == len(text)
+
+
+def test_failures_set_whole_dialogues_aside(spark):
+    rows = [("ok", 0, "A", "a", 0.0, 1.0), ("ok", 1, "B", "b", 0.0, 1.0), ("bad", 0, "A", "é", 0.0, 1.0), ("bad", 1, "B", "b", 0.0, 1.0), ("blank", 0, "A", "\u3000", 0.0, 1.0), ("blank", 1, "A", "x", 2.0, 3.0), ("blank", 2, "B", "b", 0.0, 1.0), ("late", 0, "A", "x", 0.0, 1.0), ("late", 1, "A", " ", 2.0, 3.0), ("late", 2, "B", "b", 0.0, 1.0)]
+    df = spark.createDataFrame(rows, WORDS)
+    aligned, aside = alignment.align_or_set_aside(df, pieces=ascii_pieces)
+    assert {r["dialogue_id"] for r in aligned.collect()} == {"ok", "late"}
+    assert {tuple(r) for r in aside.collect()} == {("bad", "tokens and words differ in length"), ("blank", "a word is empty")}
+    assert {r["dialogue_id"] for r in alignment.quarantine(df, spaces=False)[1].collect()} == set()
 
 
 def test_small_columns(spark):
     df = spark.createDataFrame([("a10b2",), ("a9b10",), ("a10b1",), ("b",), ("a009",)], "s string")
     assert [r["s"] for r in df.orderBy(natural_key(F.col("s"))).collect()] == ["a009", "a9b10", "a10b1", "a10b2", "b"]
+    assert [r[0] for r in spark.range(3840, 3843).select(audio_frames(F.col("id"), 24000, 12.5)).collect()] == [2, 3, 3]
     assert spark.range(1).select(ceil_div(F.lit(7), 7), ceil_div(F.lit(8), 7), ceil_div(F.lit(0), 7)).first() == (1, 2, 0)
     assert spark.range(1).select(strip_any(F.lit("　 a b\t "))).first()[0] == "a b"
