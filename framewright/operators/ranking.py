@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows for each range, the most ranges, and sampled keys for each bound.
-RANGE_ROWS, MOST_RANGES, SAMPLES = 50_000, 128, 20
+#: Rows for each range, the most ranges (bounds and counts of all are on the driver), and sampled keys for each bound.
+RANGE_ROWS, MOST_RANGES, SAMPLES = 250_000, 4096, 20
+
+
+def _place(edges, key):
+    """How many of the sorted ``edges`` are at most ``key``, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_RANGES.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(edges)) & (F.get(edges, at + step - 1) <= key), at + step).otherwise(at))
 
 
 def global_rank(rows: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]:
@@ -27,13 +33,14 @@ def global_rank(rows: DataFrame, order: list[str], out: str) -> tuple[DataFrame,
     if bounds:
         kind = rows.select(key.alias("k")).schema["k"].dataType
         edges = F.array(*[F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields]) for b in bounds])
-        part = F.size(F.filter(edges, lambda e: e <= key))
+        part = _place(edges, key)
     dealt = rows.withColumn("__part", part)
     before, total = ({}, 0) if bounds else ({0: 0}, n)
     if bounds:
         for r in dealt.groupBy("__part").count().orderBy("__part").collect():
             before[r["__part"]], total = total, total + r["count"]
     by = ", ".join(f"`{c}` ASC NULLS FIRST" for c in order)
-    base = F.element_at(F.create_map(*[F.lit(int(x)).cast(t) for p, b in before.items() for x, t in ((p, "int"), (b, "long"))]), F.col("__part")) if before else F.lit(0)
+    starts = [before.get(i, 0) for i in range(max(before, default=0) + 1)]
+    base = F.get(F.array(*[F.lit(int(x)).cast("long") for x in starts]), F.col("__part"))
     ranked = dealt.withColumn("__rn", F.expr(f"row_number() OVER (PARTITION BY __part ORDER BY {by})"))
     return ranked.withColumn(out, (base + F.col("__rn") - 1).cast("long")).drop("__part", "__rn"), total

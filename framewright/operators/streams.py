@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, StreamConfig
-from ..functions.columns import even_sizes
+from ..functions.columns import audio_frames, even_sizes
 from .ranking import global_rank
 
 
@@ -34,6 +34,15 @@ def resume_pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done.select(key).distinct(), key, "left_anti")
 
 
+def reconcile(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str] = ("text", "audio"), named: int = 10) -> None:
+    """Stop before anything is written if an id is on one side only: ValueError with how many there are and some of them."""
+    missing = reconcile_missing(left, right, key, names)
+    found = {r["missing_in"]: (r["n"], r["some"]) for r in missing.groupBy("missing_in").agg(F.count("*").alias("n"), F.min(key).alias("some")).collect()}
+    if found:
+        some = [str(r[key]) for r in missing.select(key).orderBy(key).limit(named).collect()]
+        raise ValueError("; ".join(f"{n} without {side}" for side, (n, _) in sorted(found.items())) + f", such as {', '.join(some)}")
+
+
 def reconcile_missing(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str] = ("text", "audio")) -> DataFrame:
     """(key, missing_in) for each id that only one side has; each side's ids count once."""
     a = left.select(key).distinct().withColumn("__a", F.lit(True))
@@ -64,6 +73,15 @@ def size_mismatch(merged: DataFrame) -> DataFrame:
     return merged.where(F.size(lengths) != 1).select("dialogue_id", F.lit("streams differ in length").alias("error"))
 
 
+def audio_shape_errors(audio: DataFrame, sample_rate: int, config: StreamConfig = DEFAULT) -> DataFrame:
+    """(dialogue_id, error) of dialogues whose audio (dialogue_id, speaker, audio, samples) has not the codebooks of the settings,
+    all of as many frames as the samples make."""
+    frames = audio_frames(F.col("samples"), sample_rate, config.frame_rate)
+    fits = (F.size("audio") == config.codebooks) & F.forall("audio", lambda s: F.size(s) == frames)
+    wrong = audio.where(~F.coalesce(fits, F.lit(False))).select("dialogue_id").distinct()
+    return wrong.select("dialogue_id", F.lit("audio and samples differ in frames").alias("error"))
+
+
 def split_channels(streams: Column, channels: int = 8) -> tuple[Column, Column]:
     return F.slice(streams, 1, channels), F.slice(streams, channels + 1, channels)
 
@@ -86,10 +104,11 @@ def delay_streams(streams: Column, config: StreamConfig = DEFAULT) -> Column:
     return F.transform(streams, lambda s, i: F.concat(F.array_repeat(F.get(initial, i), F.get(late, i) + 1), s, F.array_repeat(F.get(pad, i), F.lit(most) - F.get(late, i))))
 
 
-def undelay_streams(streams: Column, delays) -> Column:
-    """Each stream from its delay on, all of one length; null if there are not more frames than the longest delay, or not as many streams as delays."""
+def undelay_streams(streams: Column, delays, frames: Column | None = None) -> Column:
+    """Each stream from its delay on, all of one length; null if there are not more frames than the longest delay, or not as many
+    streams as delays. ``frames`` is how many the streams have, where a column says so; else the first stream is measured."""
     late, most = _ints(delays), max(delays)
-    frames = F.size(F.get(streams, F.lit(0)))
+    frames = F.size(F.get(streams, F.lit(0))) if frames is None else frames
     cut = F.transform(streams, lambda s, i: F.slice(s, F.get(late, i) + 1, F.greatest(frames - most, F.lit(0))))
     return F.when((frames >= most + 1) & (F.size(streams) == len(delays)), cut)
 
@@ -97,9 +116,10 @@ def undelay_streams(streams: Column, delays) -> Column:
 def split_streams(rows: DataFrame, config: StreamConfig = DEFAULT) -> DataFrame:
     """``rows`` with (chunk, num_frames, streams): even pieces of at most max_length frames; pieces under min_length go.
 
-    Piece sizes are whole-number arithmetic on the length, so short pieces go before anything is sliced.
+    Piece sizes are whole-number arithmetic on the length, which a column num_frames may give, so short pieces go before
+    anything is sliced.
     """
-    n = F.size(F.get("streams", F.lit(0)))
+    n = F.col("num_frames") if "num_frames" in rows.columns else F.size(F.get("streams", F.lit(0)))
     most = config.max_length
     parts = F.greatest(F.ceil(n / most), F.lit(1)).cast("int") if most else F.lit(1)
     rows = rows.withColumn("__n", n).withColumn("__k", parts)
@@ -119,7 +139,11 @@ def stream_labels(streams: Column, config: StreamConfig = DEFAULT) -> Column:
 
 def training_examples(merged: DataFrame, config: StreamConfig = DEFAULT, speakers: tuple[str, ...] = ("A", "B")) -> DataFrame:
     """(dialogue_id, speaker, chunk, num_streams, num_frames, streams, labels): views, delays, pieces, labels, in this order."""
-    rows = main_speaker_streams(merged, speakers).withColumn("streams", delay_streams(F.col("streams"), config))
+    return examples_of_delayed(main_speaker_streams(merged, speakers).withColumn("streams", delay_streams(F.col("streams"), config)), config)
+
+
+def examples_of_delayed(rows: DataFrame, config: StreamConfig = DEFAULT) -> DataFrame:
+    """The training examples of delayed views (dialogue_id, speaker, streams)."""
     cut = split_streams(rows, config)
     return cut.select("dialogue_id", "speaker", "chunk", F.size("streams").alias("num_streams"), "num_frames", "streams", stream_labels(F.col("streams"), config).alias("labels"))
 
@@ -144,14 +168,14 @@ def batches(rows: DataFrame, size: int) -> DataFrame:
 def collate(rows: DataFrame, config: StreamConfig = DEFAULT) -> DataFrame:
     """``rows`` with input_ids, labels and text_attention_mask padded to the longest example of their batch by the zero id.
 
-    The mask is 1 on real frames and the zero id elsewhere.
+    A column ``longest`` says how long that is, where it is known; so the arrays need not be dealt by batch. The mask is 1 on real frames and the zero id elsewhere.
     """
-    longest = F.expr("max(num_frames) OVER (PARTITION BY batch_id)")
+    longest = F.col("longest") if "longest" in rows.columns else F.expr("max(num_frames) OVER (PARTITION BY batch_id)")
     rows = rows.withColumn("__more", (longest - F.col("num_frames")).cast("int"))
     fill = lambda s: F.concat(s, F.array_repeat(F.lit(config.zero_id), F.col("__more")))
     mask = F.concat(F.array_repeat(F.lit(1), F.col("num_frames")), F.array_repeat(F.lit(config.zero_id), F.col("__more")))
     long = "array<array<bigint>>"
-    return rows.select(*[c for c in rows.columns if c not in ("streams", "labels", "__more")], F.transform("streams", fill).cast(long).alias("input_ids"), F.transform("labels", fill).cast(long).alias("labels"), mask.cast("array<bigint>").alias("text_attention_mask"))
+    return rows.select(*[c for c in rows.columns if c not in ("streams", "labels", "longest", "__more")], F.transform("streams", fill).cast(long).alias("input_ids"), F.transform("labels", fill).cast(long).alias("labels"), mask.cast("array<bigint>").alias("text_attention_mask"))
 
 
 def prompt_prefix(streams: Column, frames: int) -> Column:

@@ -1,4 +1,7 @@
-"""The dialogue plan over the conversations table: words, text streams, made-up audio, merged rows and training examples."""
+"""The dialogue plan over the conversations table: words, text streams, made-up audio, merged rows and training examples.
+
+Text, merged rows, delayed views and examples are stages that are computed once and read by all that follows.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, StreamConfig
 from ..operators import alignment, streams
+from ..sources.stages import compute_once
 from ..sources.transcripts import conversation_words
 
 
@@ -22,33 +26,62 @@ def framed(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) ->
     return alignment.framed_tokens(words(spark, sf_dir), config)
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, config: StreamConfig, make) -> DataFrame:
+    return compute_once(spark, name, [sf_dir, config.to_json()], make)
+
+
 def text(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
-    return alignment.text_streams(words(spark, sf_dir), config)
+    return stored(spark, sf_dir, "text", config, lambda: alignment.text_streams(words(spark, sf_dir), config))
 
 
-def with_audio(rows: DataFrame, config: StreamConfig = DEFAULT) -> DataFrame:
-    """``rows`` (dialogue_id, speaker, text) with made-up audio codes: as many frames as the dialogue's longer stream, less 0, 5 or 10."""
+def frames_of(rows: DataFrame) -> DataFrame:
+    """``rows`` (dialogue_id, speaker, text) with ``frames`` of the made-up audio: the dialogue's longer stream, less 0, 5 or 10."""
     frames = F.greatest(F.expr("max(size(text)) OVER (PARTITION BY dialogue_id)") - F.col("dialogue_id").cast("long") % 3 * 5, F.lit(1)).cast("int")
+    return rows.withColumn("frames", frames)
+
+
+def with_audio(rows: DataFrame, config: StreamConfig = DEFAULT) -> DataFrame:
+    """``rows`` (dialogue_id, speaker, text) with ``frames`` and made-up audio codes."""
     first = F.col("dialogue_id").cast("long") * 31 + F.when(F.col("speaker") == "B", 5).otherwise(0)
-    rows = rows.withColumn("__n", frames).withColumn("__x", first)
-    audio = F.transform(F.sequence(F.lit(0), F.lit(config.codebooks - 1)), lambda k: F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda t: ((F.col("__x") + k * 17 + t * 7) % config.audio_initial_id).cast("int")))
-    return rows.withColumn("audio", audio).drop("__n", "__x")
+    rows = frames_of(rows).withColumn("__x", first)
+    audio = F.transform(F.sequence(F.lit(0), F.lit(config.codebooks - 1)), lambda k: F.transform(F.sequence(F.lit(0), F.col("frames") - 1), lambda t: ((F.col("__x") + k * 17 + t * 7) % config.audio_initial_id).cast("int")))
+    return rows.withColumn("audio", audio).drop("__x")
 
 
-def merged(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT, prefix: str | None = None) -> DataFrame:
-    both = with_audio(text(spark, sf_dir, config), config)
-    aligned = streams.align_text(F.col("text"), F.size(F.get("audio", F.lit(0))), config.text_padding_id)
-    # Text and audio are one row here already; two tables would meet in merge_streams.
-    rows = both.select("dialogue_id", "speaker", F.concat(F.array(aligned), "audio").alias("streams"))
-    pair = rows.groupBy("dialogue_id").agg(*[F.max(F.when(F.col("speaker") == s, F.col("streams"))).alias(s) for s in "AB"])
-    name = F.concat_ws("/", F.lit(prefix), "dialogue_id") if prefix else F.col("dialogue_id")
-    return pair.select(name.alias("dialogue_id"), "A", "B")
+def merged(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
+    def make() -> DataFrame:
+        both = with_audio(text(spark, sf_dir, config), config)
+        aligned = streams.align_text(F.col("text"), F.col("frames"), config.text_padding_id)
+        # Text and audio are one row here already; two tables would meet in merge_streams.
+        rows = both.select("dialogue_id", "speaker", F.concat(F.array(aligned), "audio").alias("streams"))
+        return rows.groupBy("dialogue_id").agg(*[F.max(F.when(F.col("speaker") == s, F.col("streams"))).alias(s) for s in "AB"])
+
+    return stored(spark, sf_dir, "merged", config, make)
+
+
+def delayed(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
+    """(dialogue_id, speaker, streams, num_frames): the views of each main speaker behind their delays."""
+
+    def make() -> DataFrame:
+        views = streams.main_speaker_streams(merged(spark, sf_dir, config))
+        late = F.size(F.get("streams", F.lit(0))) + 1 + max(config.delays)
+        return views.select("dialogue_id", "speaker", streams.delay_streams(F.col("streams"), config).alias("streams"), late.alias("num_frames"))
+
+    return stored(spark, sf_dir, "delayed", config, make)
 
 
 def examples(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
-    return streams.training_examples(merged(spark, sf_dir, config), config)
+    return stored(spark, sf_dir, "examples", config, lambda: streams.examples_of_delayed(delayed(spark, sf_dir, config), config))
+
+
+def numbered(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
+    """Keys and sizes of the examples with example_id and batch_id; the arrays stay where they are."""
+    keys = examples(spark, sf_dir, config).select("dialogue_id", "speaker", "chunk", "num_streams", "num_frames")
+    return streams.batches(streams.example_ids(keys, ["dialogue_id", "speaker", "chunk"]), config.batch_size)
 
 
 def batched(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
-    ids = streams.example_ids(examples(spark, sf_dir, config), ["dialogue_id", "speaker", "chunk"])
-    return streams.collate(streams.batches(ids, config.batch_size), config)
+    ids = numbered(spark, sf_dir, config).withColumn("longest", F.expr("max(num_frames) OVER (PARTITION BY batch_id)"))
+    key = ["dialogue_id", "speaker", "chunk"]
+    rows = examples(spark, sf_dir, config).select(*key, "streams", "labels").join(ids, key)
+    return streams.collate(rows, config)
