@@ -58,7 +58,9 @@ def weighted_audio_loss(split: DataFrame, config: StreamConfig = DEFAULT) -> Dat
 
 def total_loss(text: DataFrame, audio: DataFrame) -> DataFrame:
     """(text_loss, audio_loss, total_loss) of two one-row tables."""
-    return text.select("text_loss").crossJoin(F.broadcast(audio)).select("text_loss", "audio_loss", (F.col("text_loss") + F.col("audio_loss")).alias("total_loss"))
+    none = F.lit(None).cast("double")
+    both = text.select("text_loss", none.alias("audio_loss")).unionByName(audio.select(none.alias("text_loss"), "audio_loss"))
+    return both.agg(F.max("text_loss").alias("text_loss"), F.max("audio_loss").alias("audio_loss")).withColumn("total_loss", F.col("text_loss") + F.col("audio_loss"))
 
 
 def nanmean_metrics(rows: DataFrame, by: list[str]) -> DataFrame:

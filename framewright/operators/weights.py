@@ -102,24 +102,37 @@ def trainable(names: DataFrame, group: str, column: str = "name") -> DataFrame:
     return out
 
 
+def shard_count(shards: DataFrame) -> DataFrame:
+    """(ranks): how many ranks have shards."""
+    return shards.agg(F.countDistinct("rank").alias("ranks"))
+
+
 def check_shards(shards: DataFrame, world: int) -> None:
     """As many ranks as the run had, or an error."""
-    found = shards.select("rank").distinct().count()
+    found = shard_count(shards).first()["ranks"]
     if found != world:
         raise ValueError(f"{found} shards found, {world} expected")
 
 
 def merge_flat_groups(shards: DataFrame, params: DataFrame, world: int) -> DataFrame:
     """(group, param, values): each group's shards (group, rank, values) in rank order are one run of values, cut by the running
-    sizes of its params (group, param, position, numel). What is left over must be less than 2 x world values."""
-    flat = shards.groupBy("group").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "values"))), lambda s: s["values"])).alias("flat"))
+    sizes of its params (group, param, position, numel). What is left over must be less than 2 x world values.
+
+    A group without exactly ``world`` shards is left out whole; ``incomplete_groups`` has it.
+    """
+    flat = shards.groupBy("group").agg(F.count("*").alias("shards"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "values"))), lambda s: s["values"])).alias("flat"))
     cut = params.withColumn("at", F.expr("coalesce(sum(numel) OVER (PARTITION BY `group` ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")).withColumn("whole", F.expr("sum(numel) OVER (PARTITION BY `group`)"))
-    rows = cut.join(flat, "group")
+    rows = cut.join(flat.where(F.col("shards") == world), "group")
     left = F.size("flat") - F.col("whole")
     ok = F.when((left < 0) | (left >= 2 * world), F.raise_error(F.concat(F.lit("sizes do not fit in group "), F.col("group").cast("string")))).otherwise(F.lit(True))
     return rows.where(ok).select("group", "param", F.slice("flat", (F.col("at") + 1).cast("int"), F.col("numel").cast("int")).alias("values"))
 
 
+def incomplete_groups(shards: DataFrame, world: int) -> DataFrame:
+    """(group, shards) of the groups that do not have ``world`` shards."""
+    return shards.groupBy("group").agg(F.count("*").alias("shards")).where(F.col("shards") != world)
+
+
 def merge_param_slices(shards: DataFrame, world: int) -> DataFrame:
     """(param, numel, values): every rank holds ceil(numel / world) values of each param, the last padded; joined in rank order and trimmed."""
     grouped = shards.groupBy("param").agg(F.max("numel").alias("numel"), F.count("*").alias("ranks"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "values"))), lambda s: s["values"])).alias("flat"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..config import StreamConfig
 from ..operators.ranking import global_rank
+from ..operators.streams import undelay_streams
 
 
 def read_splits(spark: SparkSession, splits: dict[str, list[str]], schema: str | T.StructType | None = None) -> dict[str, DataFrame]:
@@ -33,6 +34,32 @@ def write_chunks(df: DataFrame, path: str, rows: int = 100_000, key: str = "dial
         df.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.option("maxRecordsPerFile", rows).parquet(path)
 
 
+def write_generated(rows: DataFrame, path: str, config: StreamConfig, key: str = "example_id", tokens: str = "tokens") -> None:
+    """Generated tokens without their delays, by ``key``: Parquet sorted by it, so that a reader of some examples skips the rest.
+
+    Rows too short for the delays, or with another number of streams, have null tokens there; none is dropped.
+    """
+    whole = rows.select(key, undelay_streams(F.col(tokens), config.delays).alias(tokens))
+    whole.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.parquet(path)
+
+
+def read_generated(spark: SparkSession, path: str, ids: list[int] | None = None, key: str = "example_id") -> DataFrame:
+    """What ``write_generated`` wrote; ``ids`` prunes by the files' statistics."""
+    rows = spark.read.parquet(path)
+    return rows if ids is None else rows.where(F.col(key).isin(*ids) if ids else F.lit(False))
+
+
+def write_metrics(rows: DataFrame, path: str) -> None:
+    """Append long metric rows (step, split, metric, value) to a table in folders by split; names get their split as prefix."""
+    named = rows.select("step", "split", F.concat_ws("_", "split", "metric").alias("metric"), F.col("value").cast("double").alias("value"))
+    named.write.mode("append").partitionBy("split").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(step, split, metric, value) of all that was appended."""
+    return spark.read.schema("step long, metric string, value double, split string").parquet(path).select("step", "split", "metric", "value")
+
+
 def read_npz(spark: SparkSession, path: str, arrays: tuple[str, ...] = ("A", "B")) -> DataFrame:
     """Compressed array files of older runs: dialogue_id (the stem) and each named array as array<array<int>>."""
     schema = T.StructType([T.StructField("dialogue_id", T.StringType())] + [T.StructField(a, T.ArrayType(T.ArrayType(T.IntegerType()))) for a in arrays])

@@ -20,6 +20,20 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return words.select("dialogue_id", "pos", "w.speaker", "w.word", "w.start", "w.end")
 
 
+def write_transcripts(words: DataFrame, path: str) -> None:
+    """A folder dialogue_id=... for each dialogue, with one array of its words as JSON, in their order."""
+    word = F.struct("pos", F.struct("speaker", "word", "start", "end").alias("w"))
+    whole = words.groupBy("dialogue_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"])).alias("value"))
+    whole.write.partitionBy("dialogue_id").text(path)
+
+
+def read_transcript_folders(spark: SparkSession, path: str) -> DataFrame:
+    """WORDS rows of what ``write_transcripts`` wrote."""
+    files = spark.read.schema("value string, dialogue_id string").text(path, wholetext=True)  # else a number loses its zeros
+    words = files.select("dialogue_id", F.posexplode_outer(F.from_json("value", WORDS_JSON)).alias("pos", "w"))
+    return words.select("dialogue_id", "pos", "w.speaker", "w.word", "w.start", "w.end")
+
+
 def conversation_words(conversations: DataFrame) -> DataFrame:
     """WORDS rows of conversations: assistant is A, user is B, system turns go; the n-th word of a conversation starts at n steps."""
     speaker = F.when(F.col("role") == "assistant", "A").when(F.col("role") == "user", "B")

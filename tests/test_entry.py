@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from framewright import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,10 +22,8 @@ def _norm(v):
     return tuple(map(_norm, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", ["training_chunks", "eot_markers", "stream_labels", "reconcile_missing", "weighted_audio_loss", "logging_window", "embedding_covariance", "sampling_candidates", "key_rename", "merge_param_slices"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_oracle(spark, duck, name):
-    from framewright import catalog
-
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=str)

@@ -2,6 +2,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framewright.config import StreamConfig
@@ -77,6 +78,15 @@ def test_shards_resume_reconcile(spark):
     assert {r["k"] for r in streams.resume_pending(ids, ids.where("k > 2"), "k").collect()} == {0, 1, 2}
     missing = streams.reconcile_missing(ids.where("k < 3"), ids.where("k > 1"), "k").where("k < 5").collect()
     assert {(r["k"], r["missing_in"]) for r in missing} == {(0, "audio"), (1, "audio"), (3, "text"), (4, "text")}
+    streams.reconcile(ids, ids, "k")
+    with pytest.raises(ValueError, match="2 without audio; 7 without text, such as 0, 1, 3"):
+        streams.reconcile(ids.where("k < 3"), ids.where("k > 1"), "k")
+
+
+def test_audio_shapes(spark):
+    rows = [("good", "A", [[1, 2], [1, 2], [1, 2]], 3840), ("more", "A", [[1, 2], [1, 2], [1, 2]], 3841), ("uneven", "B", [[1, 2], [1], [1, 2]], 3840), ("few", "A", [[1, 2]], 3840), ("null", "A", None, 3840)]
+    df = spark.createDataFrame(rows, "dialogue_id string, speaker string, audio array<array<int>>, samples long")
+    assert {r["dialogue_id"] for r in streams.audio_shape_errors(df, 24000, SMALL).collect()} == {"more", "uneven", "few", "null"}
 
 
 def test_sampling_and_plans(spark):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from framewright.config import StreamConfig
 from framewright.operators import metrics, weights
-from framewright.sources import files
-from framewright.sources.transcripts import conversation_words, read_transcripts
+from framewright.schemas import WORDS
+from framewright.sources import files, stages
+from framewright.sources.transcripts import conversation_words, read_transcript_folders, read_transcripts, write_transcripts
 from framewright.streaming.metrics import streaming_means
 
 CONFIG = StreamConfig()
@@ -86,6 +87,7 @@ def test_shards(spark):
     shards = spark.createDataFrame([(0, 1, [3.0, 4.0, 0.0]), (0, 0, [0.0, 1.0, 2.0])], "group int, rank int, values array<float>")
     params = spark.createDataFrame([(0, "b", 1, 3), (0, "a", 0, 2)], "group int, param string, position int, numel int")
     assert {r["param"]: r["values"] for r in weights.merge_flat_groups(shards, params, 2).collect()} == {"a": [0.0, 1.0], "b": [2.0, 3.0, 4.0]}
+    assert weights.merge_flat_groups(shards, params, 3).count() == 0 and [tuple(r) for r in weights.incomplete_groups(shards, 3).collect()] == [(0, 2)]
     s3 = spark.createDataFrame([(1, "p", 5, [3.0, 4.0, 0.0]), (0, "p", 5, [0.0, 1.0, 2.0])], "rank int, param string, numel long, values array<float>")
     assert weights.merge_param_slices(s3, 2).first()["values"] == [0.0, 1.0, 2.0, 3.0, 4.0]
     weights.check_shards(s3, 2)
@@ -109,11 +111,39 @@ def test_files(spark, tmp_path):
     assert sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "exact")).groupBy("chunk").count().collect()) == [3, 5, 5, 5, 5]
     files.write_chunks(df, str(tmp_path / "most"), rows=5)
     assert files.read_splits(spark, {"train": [str(tmp_path / "most/*.parquet")]})["train"].count() == 23
+    made = spark.createDataFrame([(i, [[i, i, i, 7], [i, 1, 2, 3]]) for i in range(9)] + [(9, [[1], [1]])], "example_id long, tokens array<array<int>>")
+    small = StreamConfig(delays=(0, 1))
+    files.write_generated(made, str(tmp_path / "g"), small)
+    back = {r["example_id"]: r["tokens"] for r in files.read_generated(spark, str(tmp_path / "g")).collect()}
+    assert back[4] == [[4, 4, 4], [1, 2, 3]] and back[9] is None and len(back) == 10
+    assert [r["example_id"] for r in files.read_generated(spark, str(tmp_path / "g"), [3]).collect()] == [3] and files.read_generated(spark, str(tmp_path / "g"), []).count() == 0
+    m = spark.createDataFrame([(1, "training", "loss", 2.0), (2, "evaluation", "loss", float("nan"))], "step long, split string, metric string, value double")
+    for _ in range(2):
+        files.write_metrics(m, str(tmp_path / "m"))
+    assert sorted(r["metric"] for r in files.read_metrics(spark, str(tmp_path / "m")).collect()) == ["evaluation_loss"] * 2 + ["training_loss"] * 2
     files.save_config(spark, CONFIG, str(tmp_path / "c"))
     assert files.load_config(spark, str(tmp_path / "c")) == CONFIG
     assert CONFIG.differs_from(StreamConfig(batch_size=9, max_length=3), ignore=("max_length",)) == ["batch_size"]
 
 
+def test_stages_are_computed_once(spark):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(5)
+
+    assert stages.compute_once(spark, "numbers", ["x", 1], make).count() == 5 == stages.compute_once(spark, "numbers", ["x", 1], make).count()
+    assert len(made) == 1 and stages.compute_once(spark, "numbers", ["x", 2], make).count() == 5 and len(made) == 2
+
+
+def test_transcripts_written_and_read(spark, tmp_path):
+    rows = [("d 1", 0, "A", "a", 0.5, 1.0), ("d 1", 1, "B", "é", 0.0, 1.0), ("x/2", 0, "A", "z", 0.0, 1.0)]
+    df = spark.createDataFrame(rows, WORDS)
+    write_transcripts(df, str(tmp_path / "w"))
+    assert sorted(map(tuple, read_transcript_folders(spark, str(tmp_path / "w")).collect())) == rows
+
+
 def test_conversation_words_and_stream(spark, tmp_path):
     c = spark.createDataFrame([(1, 0, "user", "a b"), (1, 1, "system", "x"), (1, 2, "assistant", " c\n"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
     assert [(r["pos"], r["speaker"], r["word"]) for r in conversation_words(c).orderBy("pos").collect()] == [(0, "B", "a"), (1, "B", "b"), (2, "A", "c")]
