@@ -20,6 +20,11 @@ CODES = 64
 #: Vectors for each inverted list, and the most lists.
 PER_LIST = 800
 MOST_LISTS = 1024
+#: Probes reach at least so many standard deviations of what an offset between near vectors has towards another list.
+DEVIATIONS = 3.0
+#: Vectors of each list that are compared with all others, to see how far probes must reach for the links that there are; and
+#: the margin on top.
+TRIALS, MARGIN = 8, 1.15
 #: Queries of a block that are compared at once.
 BLOCK = 512
 #: One side of a block is at most so many times as long and so many bytes; larger lists are split in blocks that all meet. The
@@ -84,6 +89,11 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def _stored(column: pa.Array, kind: str) -> np.ndarray:
+    """Vectors of one length that were stored as bytes, which travel without their numbers being read."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -106,17 +116,36 @@ def _extent(index: Index, lists: np.ndarray, d: np.ndarray) -> tuple[np.ndarray,
     return some, rows.astype(np.float32)
 
 
-def _probes(index: Index, d: np.ndarray, reach: float, extent: np.ndarray) -> list[np.ndarray]:
-    """For each vector all lists that hold, by their real ``extent``, a vector that can be within ``reach``.
+def _needed(index: Index, d: np.ndarray, own: np.ndarray, extent: np.ndarray) -> np.ndarray:
+    """How far each vector (squared distances ``d``, list ``own``) must reach to ask each list, by the lists' real ``extent``.
 
-    One of list c is at least extent[c, own] beyond the plane to the vector's own centroid, and the vector is some way before
-    it: both together are at most ``reach``. Nor is it farther from c than the vector is, less ``reach``.
+    A vector of list c is at least extent[c, own] beyond the plane to the asker's own centroid, and the asker is some way
+    before it: no closer than both together. Nor is it farther from c than the asker is, less the distance between them.
+    So within the full distance of a link a list that needs more holds no partner.
     """
-    own = d.argmin(1)
-    slack = reach + 1e-5
-    ok = (_beyond(index, d, own) + extent[:, :-1].T[own] <= slack) & (np.sqrt(d) - extent[:, -1][None] <= slack)
-    ok[np.arange(len(d)), own] = True
-    return [np.flatnonzero(o) for o in ok]
+    need = np.maximum(_beyond(index, d, own) + extent[:, :-1].T[own], np.sqrt(d) - extent[:, -1][None])
+    need[np.arange(len(d)), own] = 0
+    return need
+
+
+def _usual_reach(index: Index, sample: np.ndarray, full: float) -> np.ndarray:
+    """For each list how far a link's offset goes towards another list if it is like the list's residuals: in many dimensions
+    only a small part of it does. Lists with few sampled vectors or residuals in few dimensions come out at the full distance."""
+    lists, _ = index.nearest(sample)
+    out = np.full(len(index.coarse), full)
+    for c in np.unique(lists):
+        r = sample[lists == c] - index.coarse[c]
+        gram = r.T @ r
+        if (square := (gram**2).sum()) > 0:
+            out[c] = min(full, full * DEVIATIONS / np.sqrt(np.trace(gram) ** 2 / square))
+    return out
+
+
+def _probes(index: Index, d: np.ndarray, own: np.ndarray, reach: np.ndarray, extent: np.ndarray) -> list[np.ndarray]:
+    """For each vector the lists that need at most its own list's ``reach``, from its own number on."""
+    ok = _needed(index, d, own, extent) <= reach[own][:, None] + 1e-5
+    ok &= np.arange(len(index.coarse))[None] >= own[:, None]
+    return [np.flatnonzero(o).astype(np.int32) for o in ok]
 
 
 def _match(index: Index, c: int, codes: np.ndarray, error: np.ndarray, x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +172,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
 
     Vectors link at a cosine of at least ``least`` in double precision. Equal vectors are one entry with its number of rows
     and least vec_id, by partial aggregation. Each entry is in the inverted list of its nearest centroid, by its residual
-    codes, and asks every list that a near one can be in by the real extent of the list's entries; in a list the codes'
-    distance less the entry's own error decides, so none is passed over in either. Each length of vectors has its own index. Lists are dealt in blocks, so a crowded list is many groups. Links are counted, and only a spanning set of each block is kept for the components.
+    codes, and asks the lists within reach by the real extent of their entries: as far as offsets like the residuals of its
+    list go, and as the links of a sample of every list, compared with all vectors, are found to need, with a margin; at most
+    the full distance, which passes over none. In a list the codes' distance less the entry's own error decides, so none is
+    passed over there. Recall is measured, in the tests and the README. Of two lists only the vectors of the one with the
+    lower number ask the other, and what they find counts for both sides. Each length of vectors has its own index. Lists are
+    dealt in blocks, so a crowded list is many groups. Links are counted, and only a spanning set of each block is kept for
+    the components.
     Vectors link with ones of their own length. Those that are null, empty, zero, or hold null or non-finite components link
     with nothing; they are rows with no link and their own component. Repeated rows stay.
     """
@@ -178,23 +212,28 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
     """(u, v, c) of ``total`` entries (entry, v, n, node) of one length: nodes that links connect, and the linked rows of u."""
     spark = usable.sparkSession
     sample = usable.orderBy(F.xxhash64("node", F.lit(3)), "entry").limit(FIT_SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    index = spark.sparkContext.broadcast(fit(_unit(_vectors(sample)), total))
+    some = _unit(_vectors(sample))
+    index = spark.sparkContext.broadcast(fit(some, total))
     lists_of, lengths = index.value.coarse.shape
     farthest = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    kind = dict(usable.dtypes)["v"]
+    own, _ = index.value.nearest(some)
+    trials = spark.sparkContext.broadcast(some[np.concatenate([np.flatnonzero(own == c)[:TRIALS] for c in range(lists_of)])])
+    kind = "<f4" if dict(usable.dtypes)["v"] == "array<float>" else "<f8"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
-            x = _unit(_vectors(batch.column(2)))
+            raw = _vectors(batch.column(2))
+            x = _unit(raw)
             lists, _ = ix.nearest(x)
             codes, error = ix.code(x, lists)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["node", "n", "x", "list", "codes", "error"])
+            kept = pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["node", "n", "x", "list", "codes", "error"])
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, whole = index.value, np.full((lists_of, lists_of + 1), np.inf, np.float32)
         for batch in batches:
-            lists, d = ix.nearest(_unit(_vectors(batch.column(0))))
+            lists, d = ix.nearest(_unit(_stored(batch.column(0), kind)))
             some, rows = _extent(ix, lists, d)
             rows[:, -1] *= -1  # minima all
             whole[some] = np.minimum(whole[some], rows)
@@ -206,7 +245,7 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
             rows = [np.frombuffer(b"".join(r), np.float32).reshape(len(r), -1).min(0).tobytes() for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["list", "extent"])
 
-    placed = written(usable.select("node", "n", "v").mapInArrow(place, f"node long, n long, x {kind}, list int, codes binary, error double"), "vectors-placed")
+    placed = written(usable.select("node", "n", "v").mapInArrow(place, "node long, n long, x binary, list int, codes binary, error double"), "vectors-placed")
     widest = placed.select("x").mapInArrow(widen, "list int, extent binary").groupBy("list").agg(F.collect_list("extent").alias("extents"))
     extent = np.full((lists_of, lists_of + 1), np.inf, np.float32)  # an empty list is never asked
     extent[:, -1] = -np.inf
@@ -215,21 +254,39 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
         extent[row["list"], -1] *= -1
     extents = spark.sparkContext.broadcast(extent)
 
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, asking = index.value, trials.value
+        home, d = ix.nearest(asking)
+        need = _needed(ix, d, home, extents.value)
+        most = np.full(lists_of, -1.0)
+        for batch in batches:
+            a, b = np.nonzero(_unit(_stored(batch.column(0), kind)) @ asking.T >= least)
+            np.maximum.at(most, home[b], need[b, batch.column(1).to_numpy()[a]])
+        found = np.flatnonzero(most > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(most[found])], names=["list", "need"])
+
+    reach = _usual_reach(index.value, some, farthest)
+    for row in placed.select("x", "list").mapInArrow(tried, "list int, need double").groupBy("list").agg(F.max("need").alias("need")).collect():
+        reach[row["list"]] = min(farthest, max(reach[row["list"]], row["need"] * MARGIN))
+    reaches = spark.sparkContext.broadcast(reach)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, d = index.value.nearest(_unit(_vectors(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.astype(np.int32) for p in _probes(index.value, d, farthest, extents.value)], pa.list_(pa.int32()))], names=["node", "x", "probes"])
+            own, d = index.value.nearest(_unit(_stored(batch.column(2), kind)))
+            asked = _probes(index.value, d, own, reaches.value, extents.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(asked, pa.list_(pa.int32()))], names=["node", "n", "x", "list", "probes"])
 
-    asked = placed.select("node", "x").mapInArrow(ask, f"node long, x {kind}, probes array<int>").select("node", "x", F.explode("probes").alias("at"))
+    asked = placed.select("node", "n", "x", "list").mapInArrow(ask, "node long, n long, x binary, list int, probes array<int>")
+    asked = asked.select("node", "n", "x", F.explode("probes").alias("at"), "list").select("node", "n", "x", "at", (F.col("list") == F.col("at")).alias("home"))
     side = max(BLOCK, min(SIDE * BLOCK, SIDE_BYTES // (8 * lengths)))
     held = placed.groupBy("list").agg(F.ceil(F.count("*") / side).cast("int").alias("parts")).withColumnRenamed("list", "at")
     asks = asked.groupBy("at").agg(F.ceil(F.count("*") / side).cast("int").alias("askers"))
     plan = F.broadcast(held.join(asks, "at"))  # at most MOST_LISTS rows
     part = F.pmod(F.hash("node", F.lit(11)), F.col("parts"))
     asker = F.pmod(F.hash("node", F.lit(13)), F.col("askers"))
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("codes", "binary"), ("error", "double"))]
-    entry_rows = placed.withColumnRenamed("list", "at").join(plan, "at").withColumn("part", part).withColumn("asker", F.explode(F.expr("sequence(0, askers - 1)"))).select("at", "part", "asker", F.struct("node", "x", "n", "codes", "error").alias("e"))
-    query_rows = asked.join(plan, "at").withColumn("asker", asker).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("at", "part", "asker", F.struct("node", "x", *nothing).alias("e"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("codes", "binary"), ("error", "double"))]
+    entry_rows = placed.withColumnRenamed("list", "at").join(plan, "at").withColumn("part", part).withColumn("asker", F.explode(F.expr("sequence(0, askers - 1)"))).select("at", "part", "asker", F.struct("node", "x", "n", F.lit(False).alias("home"), "codes", "error").alias("e"))
+    query_rows = asked.join(plan, "at").withColumn("asker", asker).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("at", "part", "asker", F.struct("node", "x", "n", "home", *nothing).alias("e"))
     blocks = entry_rows.unionByName(query_rows).groupBy("at", "part", "asker").agg(F.collect_list("e").alias("es")).select("at", "es")
 
     block = BLOCK
@@ -240,18 +297,21 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
             for r in range(batch.num_rows):
                 es = batch.column(1).slice(r, 1).flatten()
                 is_entry = np.array(es.field("codes").is_valid())
-                node, x = es.field("node").to_numpy(), _unit(_vectors(es.field("x")))
                 e, q = np.flatnonzero(is_entry), np.flatnonzero(~is_entry)
                 if not len(e) or not len(q):
                     continue
+                node, n, x = es.field("node").to_numpy(), es.field("n").to_numpy(), _unit(_stored(es.field("x"), kind))
+                home = es.field("home").to_numpy(zero_copy_only=False).astype(bool)
                 codes = np.frombuffer(b"".join(es.field("codes").take(pa.array(e)).to_pylist()), np.uint8).reshape(len(e), -1)
-                error, n = (es.field(f).take(pa.array(e)).to_numpy(zero_copy_only=False) for f in ("error", "n"))
+                error = es.field("error").take(pa.array(e)).to_numpy(zero_copy_only=False)
                 for lo in range(0, len(q), block):
                     some_q = q[lo : lo + block]
                     a, b = _match(ix, batch.column(0)[r].as_py(), codes, error, x[e], x[some_q], least)
                     other = node[some_q][a] != node[e][b]
                     a, b = a[other], b[other]
-                    linked = np.bincount(a, n[b], len(some_q)).astype(np.int64)
+                    away = ~home[some_q][a]  # in their own list both ask
+                    linked = np.bincount(a, n[e][b], len(some_q)).astype(np.int64)
+                    asked_by = np.bincount(b[away], n[some_q][a[away]], len(e)).astype(np.int64)
                     low, top = node[some_q].copy(), node[e].copy()
                     while True:  # the least node that the block's links reach
                         before = (low.copy(), top.copy())
@@ -261,7 +321,7 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
                             break
                     u = np.concatenate([node[some_q], node[e]])
                     v = np.concatenate([low, top])
-                    count = np.concatenate([linked, np.zeros(len(e), np.int64)])
+                    count = np.concatenate([linked, asked_by])
                     some = (u != v) | (count > 0)
                     yield pa.RecordBatch.from_arrays([pa.array(u[some]), pa.array(v[some]), pa.array(count[some])], names=["u", "v", "c"])
 
@@ -269,6 +329,7 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
 
 
 def report(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row; edge cases as in ``near_vectors``. A null vec_id is kept if its component has no other."""
     return near_vectors(vectors, least).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
