@@ -10,11 +10,24 @@ from ._session import shared_dir
 MAX_ROUNDS = 60
 
 
+#: Joins go by a number that stands for the node, not by the node that the minima are grouped by. So they have exchanges of their
+#: own, whose large partitions, a hub's links, Spark can split; else they stand behind the sums and cannot be.
+_MIX = 0x5DEECE66D1234567
+
+
+def _stands_for(node: str):
+    return F.col(node).bitwiseXOR(F.lit(_MIX))
+
+
+def _with_minimum(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` (u, v) with ``m`` of ``least`` (u, m)."""
+    return links.withColumn("at", _stands_for("u")).join(least.select(_stands_for("u").alias("at"), "m"), "at").select("u", "v", "m")
+
+
 def _with_least(links: DataFrame) -> DataFrame:
     """Both directions of ``links`` with the least of each node and its neighbours."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u")
+    return _with_minimum(both, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -25,7 +38,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Each node's smaller neighbours and itself move to the least of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_minimum(down, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
@@ -33,7 +46,7 @@ def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     """(node, component) of every node that has a link: ``component`` is the least node it reaches.
 
     Alternating large-star and small-star rounds: each replaces links by links to the least neighbour, and joins links with
-    one minimum per node, so a hub's links are spread and pre-aggregated. Rounds end when the links no longer change, by
+    one minimum per node; minima are pre-aggregated, and the join can split a hub's links. Rounds end when the links no longer change, by
     their number and two sums of hashes. Each round is written by checkpoint() to the shared folder. Self-links and nulls
     are ignored; an empty table has no rows.
     """
