@@ -73,14 +73,13 @@ def scratch_mark() -> int:
     return len(_made)
 
 
-def drop_scratch(spark: SparkSession, mark: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete the tables written since ``mark``, for when nothing reads them any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in _made[mark:]:
-        if name not in keep:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-    _made[mark:] = [n for n in _made[mark:] if n in keep]
+def drop_scratch(spark: SparkSession, mark: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables written since ``mark``, but for the last if it is still read."""
+    gone = _made[mark : len(_made) - 1 if keep_last else None]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[mark:] = _made[mark + len(gone) :]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

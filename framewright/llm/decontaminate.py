@@ -90,7 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
     names = docs.columns
-    named = {n: unused(n, *names) for n in ("bad id", "bad key", "bad hits", "bad words", "bad gaps")}
+    named = {n: unused(n, *names) for n in ("bad_id", "bad_key", "bad_hits", "bad_words", "bad_gaps")}
     id_, key_, hits, raw, gaps = named.values()
     bad = scan(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), F.col("hits").alias(hits)).distinct()
     key = F.concat_ws(":", F.xxhash64("text"), F.octet_length("text"))

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from ._session import bound_batches, unused, written
 from .components import components
 
-#: Fingerprints of a block that one group holds; larger blocks are split in parts that meet in pairs.
-PART = 256
+#: Fingerprints of a block that one group holds; larger blocks are split in parts that meet in pairs. The larger a part, the
+#: fewer copies of a hot block's rows travel.
+PART = 1024
 
 
 def fingerprint_bits(words: list[bytes], width: int) -> int:
@@ -158,6 +159,8 @@ WIDE = 256
 #: Candidates may differ in this share of bits beyond the expected one: five standard deviations of a long text's, over
 #: three of the shortest sets at 0.8 (four of five shingles, 48 bits expected).
 CANDIDATE_SLACK = 0.12
+#: The chance that a pair at the stated similarity shares no block.
+MISSED = 0.03
 #: Sets and their bytes in one part of a group of candidates; parts of larger groups meet in pairs.
 VERIFY_ROWS = 512
 VERIFY_BYTES = 6 << 20
@@ -206,11 +209,21 @@ def bit_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def drawn_blocks(n: int, similarity: float, missed: float = 0.05) -> list[np.ndarray]:
+def missed_share(similarity: float, width: int, many: int) -> float:
+    """The chance that a pair at ``similarity`` shares none of ``many`` blocks of ``width`` bits, over what its distance may be."""
+    p, d = bit_share(similarity), np.arange(WIDE + 1)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, WIDE + 1)))))
+    weight = np.exp(logs[WIDE] - logs[d] - logs[WIDE - d] + d * np.log(p) + (WIDE - d) * np.log1p(-p))
+    return float((weight * (1 - (1 - d / WIDE) ** width) ** many).sum())
+
+
+def drawn_blocks(n: int, similarity: float, missed: float = MISSED) -> list[np.ndarray]:
     """Blocks (bit positions) for ``n`` fingerprints: wide enough that chance pairs stay in proportion to ``n``, and so many
     that a pair at ``similarity`` shares none with a chance of at most ``missed``; closer pairs are missed far less often."""
     width = int(min(30, max(16, np.ceil(np.log2(max(n, 2))) + 1)))
-    many = int(np.ceil(np.log(missed) / np.log1p(-((1 - bit_share(similarity)) ** width))))
+    many = 8
+    while missed_share(similarity, width, many) > missed:
+        many += 8
     rng, out = np.random.default_rng(64), []
     while len(out) < many:
         order = rng.permutation(WIDE)
@@ -267,30 +280,38 @@ def verified_links(nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
+def text_key(text: Column) -> Column:
+    """What tells the texts of one doc_id apart; null and empty texts are both blank."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), F.coalesce(F.octet_length(text), F.lit(0)))
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, part: int = PART) -> DataFrame:
-    """(doc_id, node, component, keep_id) of each row of ``docs``: groups of exact and near copies.
+    """(doc_id, text_key, node, component, keep_id) of each row of ``docs``: groups of exact and near copies.
 
     Texts link when the Jaccard similarity of their sets of ``width``-word shingles is at least ``similarity``. ``node``
     stands for a set (a 64-bit hash of it). Wide fingerprints only find candidates: pairs that share a drawn block and
     differ in somewhat more bits than is expected at ``similarity`` make groups of candidates; in each, the sets themselves
-    are compared, and the links that hold give ``component``. ``keep_id`` is the least doc_id of a component. Blank texts are
-    copies of each other.
+    are compared, and the links that hold give ``component``. No fingerprint has a bound on the bits in which sets at 0.8
+    differ, so blocks are drawn: a pair at ``similarity`` is missed with a chance of MISSED, closer ones far less often.
+    ``keep_id`` is the least doc_id of a component. Blank texts are copies of each other; a null doc_id names no component;
+    repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     most = int(WIDE * (bit_share(similarity) + CANDIDATE_SLACK))
-    src = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
+    src = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            column = batch.column(2).cast(pa.large_binary()).fill_null(b"")
             fps, names = [], []
             for t in column:
                 shingles = shingle_set(t.as_py().lower().split(), width)
                 fps.append(wide_fingerprint(shingles)), names.append(_node(shingles))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(names, pa.int64())], names=["doc_id", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(names, pa.int64())], names=["doc_id", "text_key", "fp", "node"])
 
-    prints = written(src.mapInArrow(run, "doc_id long, fp binary, node long"), "copies")
-    nodes = written(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "copies-nodes")
+    prints = written(src.mapInArrow(run, "doc_id long, text_key long, fp binary, node long"), "copies")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("one")
+    nodes = written(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), one), "copies-nodes")
     blocks = drawn_blocks(nodes.count(), similarity)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,19 +341,16 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, part:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     candidates = components(groups.select("list").mapInArrow(link, "u long, v long").distinct()).withColumnRenamed("component", "candidates")
-    asked = nodes.join(candidates, "node").select(F.col("first_id").alias("doc_id"), "node", "candidates")
+    asked = nodes.join(candidates, "node").select(F.col("one.doc_id").alias("at_id"), F.col("one.text_key").alias("at_key"), "node", "candidates")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(2).cast(pa.large_binary()).fill_null(b"")
             sets = [shingle_set(t.as_py().lower().split(), width) for t in column]
-            # A repeated doc_id can bring other texts than the one that names the node.
-            same = np.array([_node(x) for x in sets], np.int64) == batch.column(0).to_numpy()
-            mine = [x for x, s in zip(sets, same.tolist(), strict=True) if s]
-            kept = [batch.column(c).filter(pa.array(same)) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([wide_fingerprint(x) for x in mine], pa.binary()), pa.array([x.tobytes() for x in mine], pa.binary())], names=["node", "candidates", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([wide_fingerprint(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "candidates", "fp", "shingles"])
 
-    spelt = src.join(asked, "doc_id").select("node", "candidates", "__text").mapInArrow(spell, "node long, candidates long, fp binary, shingles binary")
+    found = src.join(asked, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key")))
+    spelt = found.select("node", "candidates", "text").mapInArrow(spell, "node long, candidates long, fp binary, shingles binary")
     spelt = written(spelt.dropDuplicates(["node"]), "copies-sets")
     sizes = spelt.groupBy("candidates").agg(F.greatest(F.ceil(F.count("*") / VERIFY_ROWS), F.ceil(F.sum(F.length("shingles")) / VERIFY_BYTES)).cast("int").alias("p"))
     split = spelt.join(sizes, "candidates").withColumn("own", F.pmod(F.hash("node", F.lit(9)), F.col("p"))).withColumn("other", F.explode(F.expr("sequence(0, p - 1)")))
@@ -347,26 +365,28 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, part:
                 u, v = verified_links(flat.field("node").to_numpy(), fps, sets, most, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    member = components(meet.select("list").mapInArrow(verify, "u long, v long")).withColumnRenamed("node", "__node")
-    named = nodes.join(member, F.col("node") == F.col("__node"), "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    member = components(meet.select("list").mapInArrow(verify, "u long, v long")).withColumnRenamed("node", "linked")
+    named = nodes.join(member, F.col("node") == F.col("linked"), "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("keep_id"))
-    return prints.join(named.join(least, "component").select("node", "component", "keep_id"), "node").select("doc_id", "node", "component", "keep_id")
+    return prints.join(named.join(least, "component").select("node", "component", "keep_id"), "node").select("doc_id", "text_key", "node", "component", "keep_id")
 
 
 def drop_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of exact and near copies: the one of least doc_id, then least text hash.
 
-    All columns of ``docs`` come back, extra ones too; of repeated rows of the kept document one stays. Rows without a
-    doc_id cannot be named and stay.
+    All columns of ``docs`` come back, extra ones too. A row is its doc_id and its text: of two texts with one doc_id that are
+    no copies both stay, and of repeated rows one. Rows without a doc_id cannot be named and stay; of blank texts one stays;
+    an empty table gives no rows.
     """
     names = docs.columns
-    h = F.xxhash64("text")
+    key, at_id, at_key = (unused(n, *names) for n in ("text_key", "kept_id", "kept_key"))
     marked = near_copies(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), width, similarity)
-    keep = marked.groupBy("component").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
-    counted = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    repeated = written(counted, "copies-repeated")
-    once_each = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi").join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, "doc_id", "left_anti")
-    again = docs.join(repeated, "doc_id", "left_semi").join(keep, docs["doc_id"] == keep["__id"], "left_semi").withColumn("__h", h)
-    first = again.groupBy("doc_id").agg(F.min("__h").alias("__m")).withColumnRenamed("doc_id", "__i")
-    again = again.join(first, (F.col("doc_id") == F.col("__i")) & F.col("__h").eqNullSafe(F.col("__m"))).dropDuplicates(["doc_id"])
-    return once_each.select(*names).unionByName(again.select(*names)).unionByName(docs.where("doc_id IS NULL"))
+    own = marked.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = own.groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("x"))
+    keep = written(first.select(F.col("x.doc_id").alias(at_id), F.col("x.text_key").alias(at_key), F.col("x.n").alias("n")), "copies-kept")
+    rows = docs.where("doc_id IS NOT NULL").withColumn(key, text_key(F.col("text")))
+    match = (F.col("doc_id") == F.col(f"`{at_id}`")) & (F.col(f"`{key}`") == F.col(f"`{at_key}`"))
+    once_each = rows.join(keep.where("n = 1"), match, "left_semi")
+    again = rows.join(keep.where("n > 1"), match, "left_semi").dropDuplicates(["doc_id", key])
+    every = [F.col(f"`{n}`") for n in names]
+    return once_each.select(*every).unionByName(again.select(*every)).unionByName(docs.where("doc_id IS NULL"))
