@@ -66,26 +66,28 @@ def write_token_orc(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
     """Write the ids of ``docs`` (doc_id, text) to ``path``: files in ascending doc_id order, null ids first, ties by text hash and text.
 
     Rows are dealt by ranges of (doc_id, hash of the text), so repeated ids do not meet in one file, and sorted in each;
-    a null text is empty and has the end id only. Extra columns of ``docs`` are not stored.
+    a null text is empty and has the end id only. Extra columns of ``docs`` are not stored. Beside the files (``ids``) stands a
+    table (``starts``) of how many ids come before each file, so that a reader of some documents need not add them up.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
-    encode_ids(dealt.withColumn("part", F.spark_partition_id()), tokenizer_path, end_id).write.options(**ORC_OPTIONS).orc(path)
+    encode_ids(dealt.withColumn("part", F.spark_partition_id()), tokenizer_path, end_id).write.options(**ORC_OPTIONS).orc(f"{path}/ids")
+    w = "SUM(ids_in_part) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    sums = spark.read.schema(FILE_SCHEMA).orc(f"{path}/ids").groupBy("part").agg(F.sum("n_tokens").alias("ids_in_part"))
+    sums.select("part", F.expr(f"coalesce({w}, 0L)").alias("base")).write.orc(f"{path}/starts")  # a row for each file
     return path
 
 
 def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """The stored rows with ``start``: how many ids all earlier documents have. ``doc_ids`` prunes stripes by index and Bloom filter.
-
-    Only one row per file, its number of ids, is summed over the files, by a scan that reads two narrow columns.
-    """
-    rows = spark.read.schema(FILE_SCHEMA).orc(path)
-    w = "SUM(ids_in_part) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    base = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids_in_part")).select("part", F.expr(f"coalesce({w}, 0L)").alias("base"))
+    """The stored rows with ``start``: how many ids all earlier documents have. ``doc_ids`` prunes files, stripes and runs of rows
+    by the index and the Bloom filter; nothing else of the files is read."""
+    rows = spark.read.schema(FILE_SCHEMA).orc(f"{path}/ids")
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(*doc_ids) if doc_ids else F.lit(False))
+    base = spark.read.schema("part int, base long").orc(f"{path}/starts")
     # One row for each file: the table of files is far smaller than the files' own metadata.
     return rows.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("before")).drop("base")
 
@@ -106,7 +108,8 @@ def id_checksums(rows: DataFrame) -> DataFrame:
 
 
 def token_orc_report(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Write ``docs`` as token ORC in the shared folder and report each document from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of each row of ``docs``, written as token ORC in the shared folder and read from the
+    files; odd rows as in ``write_token_orc``."""
     spark = docs.sparkSession
     path = write_token_orc(docs, tokenizer_path, scratch_path(spark, "token-orc"), end_id)
     return id_checksums(read_token_orc(spark, path))
