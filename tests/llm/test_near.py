@@ -95,11 +95,13 @@ def test_near_copies_go_and_others_stay(spark):
             rows.append((g * 10 + k, " ".join(near).upper() if k == 1 else " ".join(near)))
             gone.add(g * 10 + k)
     rows += [(0, rows[0][1]), (None, "no id"), (None, "no id"), (9001, None), (9002, "")]
+    rows += [(9100, "two texts of one number " + " ".join(rng.choices(vocabulary, k=50))), (9100, "which are no copies " + " ".join(rng.choices(vocabulary, k=50))), (9101, rows[0][1])]
+    gone.add(9101)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
     kept = simhash.drop_copies(df)
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({i for i, _ in rows if i is not None} - gone - {9002})
+    assert sorted(i for i in ids if i is not None) == sorted([*({i for i, _ in rows if i is not None} - gone - {9002}), 9100])
     assert ids.count(None) == 2
     assert simhash.drop_copies(df.where("false")).count() == 0
 
@@ -107,19 +109,20 @@ def test_near_copies_go_and_others_stay(spark):
 def test_near_copies_are_those_of_the_stated_similarity(spark):
     rng = random.Random(6)
     rows, want = [], {}
-    for g, (shared, own) in enumerate([(320, 40), (316, 42), (300, 50), (280, 60)] * 12):  # similarity 0.8, 0.79, 0.75, 0.7
+    for g, (shared, own) in enumerate([(320, 40), (316, 42), (300, 50), (280, 60)] * 40):  # similarity 0.8, 0.79, 0.75, 0.7
         words = [f"w{g}x{i}" for i in range(shared + 4)]
         tail = lambda k: [f"{k}{g}y{i}" for i in range(own)]
         rows += [(2 * g, " ".join(words + tail("a"))), (2 * g + 1, " ".join(words + tail("b")))]
         want[g] = shared * 10 >= 8 * (shared + 2 * own)
-    assert sum(want.values()) == 12
-    rows += [(1000, "p q r s t u v w"), (1001, "p q r s t u v w x"), (1002, "same " * 9), (1003, "same " * 50)]
+    assert sum(want.values()) == 40
+    rows += [(1000, "p q r s t u v w"), (1001, "p q r s t u v w x"), (1002, "same " * 9), (1003, "same " * 50)]  # ids above 2 x 160
     df = spark.createDataFrame([*rows, (2000, rows[0][1]), (2000, "another text of a repeated id")], "doc_id long, text string")
     simhash.VERIFY_ROWS, was = 1, simhash.VERIFY_ROWS
     got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(df).collect()}
     simhash.VERIFY_ROWS = was
     assert not any(got[2 * g + 1] == 2 * g for g in want if not want[g])
-    assert sum(got[2 * g + 1] == 2 * g for g in want if want[g]) >= 11  # drawn blocks may miss one in twenty
+    assert sum(got[2 * g + 1] == 2 * g for g in want if want[g]) >= 36  # at 0.8 just 3 % may be missed
+    assert simhash.missed_share(0.8, 19, len(simhash.drawn_blocks(200_000, 0.8))) <= 0.03 and simhash.missed_share(0.9, 19, len(simhash.drawn_blocks(200_000, 0.8))) < 1e-3
     assert got[1003] == 1002
 
 
@@ -165,13 +168,37 @@ def test_each_length_of_vectors_is_searched(spark):
     assert got == {**{i: (3, 0) for i in range(4)}, **{10 + i: (2, 10) for i in range(3)}, 20: (0, 20)}
 
 
-def test_probes_cover_a_hot_group_of_few_dimensions():
+def skewed_vectors(rng, n, dims=64):
+    """Uneven groups, a hot third in three dimensions, near copies, and near copies that move towards other groups."""
+    centres = rng.normal(size=(40, dims))
+    wide = centres[np.minimum(rng.geometric(0.08, n // 2), 40) - 1] + rng.normal(size=(n // 2, dims))
+    turn = np.linalg.qr(rng.normal(size=(dims, 4)))[0]
+    hot = turn[:, 0] * 3 + rng.uniform(-2, 2, size=(n // 3, 2)) @ turn[:, 1:3].T + 0.02 * rng.normal(size=(n // 3, dims))
+    some = wide[rng.integers(0, len(wide), (n - len(wide) - len(hot)) // 2)]
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit(some) + 0.4 * rng.uniform(0.2, 1, (len(some), 1)) * unit(rng.normal(size=some.shape))
+    moved = unit(some) + 0.4 * rng.uniform(0.2, 1, (len(some), 1)) * unit(centres[rng.integers(0, 40, len(some))])
+    return np.concatenate([wide, hot, near, moved]).astype(np.float32)
+
+
+def test_recall_on_many_uneven_lists(spark):
     rng = np.random.default_rng(10)
-    centres = rng.normal(size=(60, 64))
-    wide = centres[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 64))
-    turn = np.linalg.qr(rng.normal(size=(64, 4)))[0]
-    hot = turn[:, 0] * 1.5 + rng.uniform(-1, 1, size=(3000, 2)) @ turn[:, 1:3].T + 0.01 * rng.normal(size=(3000, 64))
-    x = np.concatenate([wide, hot])
+    x = skewed_vectors(rng, 20_000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    product_quantisation.PER_LIST, was = 400, product_quantisation.PER_LIST
+    got = {r["vec_id"]: r for r in product_quantisation.report(df).collect()}
+    product_quantisation.PER_LIST = was
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = np.concatenate([(unit[lo : lo + 1000] @ unit.T >= 0.9).sum(1) - 1 for lo in range(0, len(x), 1000)])
+    mine = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (mine <= want).all() and mine.sum() >= 0.995 * want.sum(), mine.sum() / want.sum()
+    apart = np.arange(len(x)) >= len(x) // 2 + len(x) // 3  # the near copies only
+    assert mine[apart].sum() >= 0.99 * want[apart].sum(), mine[apart].sum() / want[apart].sum()
+    assert all(r["component_id"] <= i and r["kept"] == (r["component_id"] == i) for i, r in got.items())
+
+
+def test_full_reach_asks_every_list_that_holds_a_link():
+    x = skewed_vectors(np.random.default_rng(11), 9000).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     product_quantisation.PER_LIST, was = 150, product_quantisation.PER_LIST
     index = product_quantisation.fit(x, len(x))
@@ -182,9 +209,8 @@ def test_probes_cover_a_hot_group_of_few_dimensions():
     whole = np.full((len(index.coarse), extent.shape[1]), np.inf)
     whole[:, -1], whole[some] = -np.inf, extent
     asked = np.zeros((len(x), len(index.coarse)), bool)
-    for i, p in enumerate(product_quantisation._probes(index, d, float(np.sqrt(0.2)), whole)):
+    for i, p in enumerate(product_quantisation._probes(index, d, lists, np.full(len(index.coarse), np.sqrt(0.2)), whole)):
         asked[i, p] = True
     for lo in range(0, len(x), 1000):
         a, b = np.nonzero(x[lo : lo + 1000] @ x.T >= 0.9)
-        assert asked[a + lo, lists[b]].all()
-    assert asked[:6000].mean() < 0.7
+        assert (asked[a + lo, lists[b]] | asked[b, lists[a + lo]]).all()
