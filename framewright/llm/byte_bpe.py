@@ -19,7 +19,7 @@ from ._text import Recent, once, pattern_starts, pieces, text_slices
 #: Token-position rows that one recursive query may make; pieces are dealt to queries by this.
 QUERY_ROWS = 1_000_000
 #: Longer pieces (bytes) take one merge after another on a heap: a query would make a row for each position in each round.
-LONG_PIECE = 400
+LONG_PIECE = 1000
 
 #: A pair of ids as one key.
 PAIR = 1 << 31

@@ -119,6 +119,10 @@ LABELLED_SENTENCES = [
     "Visa {card} , valid until 2026",
     "My old number , {phone} , is no longer mine .",
     "{card} was declined twice .",
+    "{phone} is busy , {phone} is not .",
+    "the line {phone} was dead all day",
+    "{ip} is up again , {ip} was rebooted",
+    "nodes {ip} and {ip} were slow",
     "They booked {card} in error",
     "used {card} at the shop and {card} at home",
     "moved from {ip} to {ip}",
@@ -137,6 +141,8 @@ LABELLED_SENTENCES = [
     "The Bank of England raised rates in June .",
     "Order 55512 was shipped on 2021-04-17 with 3 items .",
     "New York and San Francisco are far from each other .",
+    "The city of Ghent was calm , the port of Genoa was shut .",
+    "The Museum of Graz and the Council of Bergen were open .",
     "In March , the Ministry of Health said nothing .",
     "She bought 12 apples , 30 pears and 4 melons .",
     "Chapter 7 : The Long Road Home",

@@ -1,9 +1,15 @@
 import base64
+import bz2
 import gzip
+import hashlib
 import itertools
+import lzma
+import math
 import random
 import re
+import time
 import urllib.parse
+import zlib
 
 import duckdb
 import numpy as np
@@ -61,6 +67,49 @@ def test_toxicity_learns_catches_and_leaves_alone(spark):
     assert toxicity.score(df.where("false"), chain).count() == 0
 
 
+def plain_chain(chain, text):
+    """The chain's probabilities of one text, word by word: runs of one kind of character, mean weights, a sigmoid for each link."""
+    words = [w for w in re.findall(r"[a-zé]+|[0-9]+|[!.,]+", (text or "").lower())]
+    spelt = [w for w in words if w[0].isalpha()]
+    p = []
+    for k in range(len(chain.categories)):
+        total = sum(chain.weights[k].astype(np.float32)[i] for w in words for i in toxicity.word_features(w.encode()))
+        z = chain.bias[k] + total / max(len(spelt), 1) + sum(a * b for a, b in zip(p, chain.links[k]))
+        p.append(1 / (1 + math.exp(-z)))
+    return p, bool(spelt) and p[-1] >= chain.threshold
+
+
+def test_toxicity_chain_equals_a_plain_one(spark):
+    rng = random.Random(11)
+    vocabulary = ["good", "vile", "nasty", "été", "a", "12", "!!", "...", "fine", "word,"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(300)] + [None, "", "12 !!"]
+    chain = toxicity.Chain(["one", "two", "three"], threshold=0.55)
+    make = np.random.default_rng(2)
+    for k in range(3):
+        chain.bias.append(float(make.normal())), chain.weights.append(make.normal(size=toxicity.DIMS)), chain.links.append(make.normal(size=k))
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()
+    for r in rows:
+        p, toxic = plain_chain(chain, texts[r["doc_id"]])
+        assert np.allclose([r["p_one"], r["p_two"], r["p_three"]], p, atol=1e-5) and r["toxic"] == toxic
+
+
+def test_later_models_and_the_threshold_see_out_of_fold_probabilities(monkeypatch):
+    make, n = np.random.default_rng(3), 90
+    ids = [np.unique(make.integers(0, 50, 8)).astype(np.int32) for _ in range(n)]
+    x = toxicity._Rows(ids, [np.full(len(i), 0.1, np.float32) for i in ids])
+    y = make.integers(0, 2, (n, 2))
+    fitted, real = [], toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, earlier, labels, *a: fitted.append((rows.n, earlier.copy(), labels.copy())) or real(rows, earlier, labels, *a))
+    toxicity.fit_chain(x, y, ["a", "b"], folds=3)
+    assert [f[0] for f in fitted] == [60, 60, 60, 90] * 2
+    unseen = np.zeros(n)
+    for f in range(3):
+        out = np.arange(n) % 3 == f
+        model = real(x.pick(~out), np.zeros((60, 0)), y[~out, 0].astype(float))
+        unseen[out] = [1 / (1 + math.exp(-(model[0] + sum(model[1][i] * np.float32(0.1) for i in ids[r])))) for r in np.flatnonzero(out)]
+    assert np.allclose(fitted[-1][1][:, 0], unseen, atol=1e-6)
+
+
 def test_toxicity_threshold_stays_when_the_sample_is_bounded(spark):
     rng = random.Random(8)
     good, bad = [f"word{i}" for i in range(200)], ["vile", "nasty", "awful"]
@@ -144,6 +193,68 @@ def test_secrets_across_words_lines_and_alignments():
         assert secrets.redacted(t).startswith("hé ") and secrets.redacted(t).endswith(" . ok")
 
 
+def wrapped(rng, s, spans):
+    """A text in one more encoding, and for each character of ``s`` where it now is, worked out while encoding."""
+    kind = rng.choice(["url", "some url", "unicode", "entity", "base64", "packed"])
+    out, where = "", []
+    if kind in ("url", "some url", "unicode", "entity"):
+        for c in s:
+            if kind == "url" or kind == "some url" and (c == "%" or rng.random() < 0.5):
+                e = "".join("%%%02X" % b for b in c.encode())
+            else:
+                e = {"unicode": f"\\u{ord(c):04x}", "entity": f"&#{ord(c)};"}.get(kind, c)
+            where.append((len(out), len(out) + len(e)))
+            out += e
+        inner = [(where[a][0], where[e - 1][1]) for a, e in spans]
+    else:
+        raw = s.encode()
+        if kind == "packed":
+            raw = rng.choice([gzip.compress, zlib.compress, bz2.compress, lzma.compress])(raw)
+        out = base64.b64encode(raw).decode().rstrip("=")
+        inner = [(0, len(out)) if kind == "packed" else (a * 4 // 3, min(len(out), (e * 8 - 1) // 6 + 1)) for a, e in spans]
+    return out, inner
+
+
+def test_nested_spans_equal_those_kept_while_encoding():
+    rng = random.Random(12)
+    for turn in range(300):
+        secret = "token=" + "".join(rng.choices("ABCDEFghij0123", k=20))
+        s, spans = f"see {secret} end", [(4, 4 + len(secret))]
+        for _ in range(rng.randint(1, 3)):
+            s, spans = wrapped(rng, s, spans)
+        text = f"hé, {s} , ok"
+        base, every = secrets.scan_text(text)
+        want = (4 + spans[0][0], 4 + spans[0][1], "assign")
+        assert want in every, (turn, text, want, every)
+        assert all(x in every for x in base) and secrets.redacted(text).endswith(" , ok")
+
+
+def test_unpacked_layers_are_scanned_to_their_end():
+    s, code = b"token = abcdefghijkl123456", lambda raw: base64.b64encode(raw).decode()
+    late = b" " * (33 << 20) + s
+    noisy = random.Random(4).randbytes(3 << 20).hex().upper().encode().replace(b"7", b"\n,") + s
+    packed = [gzip.compress(late), bz2.compress(late), lzma.compress(late), gzip.compress(b"first") + gzip.compress(s), zlib.compress(b"x") + gzip.compress(s), gzip.compress(bz2.compress(zlib.compress(s)))]
+    packed += [gzip.compress(noisy, 1), gzip.compress(code(gzip.compress(s)).encode()), gzip.compress(late)[:-9], gzip.compress(b"password" + b" " * (5 << 20) + b"= abcdefghijkl")]
+    for raw in packed:
+        text = f"a {code(raw)} b"
+        assert (2, len(text) - 2, "assign") in secrets.scan_text(text)[1], raw[:10]
+    assert secrets.scan_text(code(gzip.compress(b"\0" * (64 << 20))))[0] is not None
+
+
+def test_long_runs_take_linear_time():
+    million = 1_000_000
+    rng = random.Random(6)
+    runs = ["a" * million, "A" * million, "1" * million, "%41" * 333_333, "%" * million, "\\u0041" * 160_000, "&#65;" * 200_000, " " * million, "@" * million, "a@" * 500_000, "a." * 500_000, "1." * 500_000, "+" * million, "+1(" + "(" * million, "token " * 160_000, "passwd" + " " * million]
+    runs += ["".join(rng.choices("abcXYZ019+/", k=million)), "".join(rng.choices("AB12\n", k=million)), "a%41" * 250_000, "1.2.3" * 200_000]
+    for text in runs:
+        began = time.process_time()
+        pii.base_spans(text)
+        assert time.process_time() - began < 5, text[:20]
+        began = time.process_time()
+        secrets.scan_text(text)
+        assert time.process_time() - began < 5, text[:20]
+
+
 def plain_pii(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -156,10 +267,11 @@ def plain_pii(t):
 
 def test_personal_data(spark):
     rng = random.Random(4)
-    parts = ["1", "22", "255", "256", ".", "4111 1111 1111 1111", "@", "a.b", "mail", ".com", "+", "+1 (555) 123-4567", " ", "-", "é", "\n"]
-    for _ in range(3000):
+    parts = ["1", "22", "255", "256", "0", "000", ".", ".", "4111 1111 1111 1111", "@", "@", "a.b", "mail", "%", ".com", "+", "+1 (555) 123-4567", " ", "-", "é", "\n"]
+    for _ in range(6000):
         t = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         assert pii.base_spans(t) == plain_pii(t), t
+    assert pii.base_spans("0" * 400 + "1.2.3.4") == [("ip", 0, 407)] and pii.base_spans("1" + "0" * 400 + ".2.3.4") == []
     field = pii.train(pii.labelled_table())
     right = total = 0
     for words, tags in pii.labelled_table(2, seed=99):
@@ -186,6 +298,89 @@ def test_personal_data(spark):
     assert pii.find(df.where("false"), field).count() == 0
 
 
+def tagged(field, words):
+    s = np.array([field.of_word(w) for w in words])
+    scores = s[:, 0].copy()
+    scores[1:] += s[:-1, 1]
+    scores[:-1] += s[1:, 2]
+    return pii.viterbi(field, scores, np.array([0]))
+
+
+def entities(tags):
+    """(kind, first word, end) of a tag sequence."""
+    out = []
+    for i, t in enumerate(tags):
+        name = pii.TAGS[t]
+        if name[0] == "B" or name[0] == "I" and not (out and out[-1][2] == i and out[-1][0] == name[2:]):
+            out.append((name[2:], i, i + 1))
+        elif name[0] == "I":
+            out[-1] = (name[2:], out[-1][1], i + 1)
+    return out
+
+
+def test_personal_data_in_text_of_another_shape(spark):
+    field = pii.train(pii.labelled_table())
+    hit, said, real = ({k: 0 for k in pii.SPAN_KINDS} for _ in range(3))
+    for words, tags in pii.labelled_table(20, seed=5, held_out=True):
+        want, got = set(entities(tags)), set(entities(tagged(field, words)))
+        for k in pii.SPAN_KINDS:
+            hit[k] += sum(x[0] == k for x in want & got)
+            said[k] += sum(x[0] == k for x in got)
+            real[k] += sum(x[0] == k for x in want)
+    for k, (precision, recall) in {"email": (0.95, 0.95), "ip": (0.95, 0.95), "card": (0.9, 0.9), "phone": (0.95, 0.9), "name": (0.85, 0.6)}.items():
+        assert hit[k] >= precision * said[k] and hit[k] >= recall * real[k], (k, hit[k], said[k], real[k])
+    rows = [(1, "Her name is Greta Hansen , call 030-555-1234 ."), (2, "mail jürgen.42@mail1.example.com now"), (3, "Greta Hansen" * 3)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert "phone:32:44" in got[1] and "name:12:24" in got[1]
+    assert "email:5:32" in got[2] and "email:7:32" in got[2]  # the whole address beside what the pattern finds of it
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert sum(r["spans"].count("name:") for r in pii.find(docs, field).collect()) <= 1
+
+
+def test_reports_equal_plain_versions_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    digest = lambda spans: hashlib.sha256(",".join(spans).encode()).hexdigest()
+    for r in pii.find(docs).collect():
+        want = plain_pii(texts[r["doc_id"]])
+        assert r["base_sha256"] == digest(f"{k}:{a}:{b}" for k, a, b in want)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in want) for k in pii.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r["spans"].split(",")) | {""}
+    for r in secrets.report(docs).collect():
+        want = plain_secrets(texts[r["doc_id"]])
+        assert r["base_sha256"] == digest(f"{k}:{a}:{b}" for a, b, k in want)
+        assert [r[f"n_{k}"] for k in secrets.KINDS] == [sum(x[2] == k for x in want) for k in secrets.KINDS]
+
+
+def test_scores_of_a_word_do_not_depend_on_what_was_seen():
+    rng = random.Random(7)
+    field = pii.train(pii.labelled_table(1), rounds=3)
+    words = ["".join(rng.choices("abXY19@..é-!", k=rng.choice([3, 10, 11, 12, 13, 24, 40, 41, 60]))) for _ in range(4000)]
+    for w in words:
+        assert (field.of_word(w) == field._scores(w)).all(), w
+
+
+def url_oracle(pages):
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url").toArrow())
+    return con.execute(url_filter.ORACLE).fetchall()
+
+
+def test_url_verdicts_come_from_the_tree(spark):
+    rng = random.Random(9)
+    words = ["en", "de", "fr", "es", "shop", "spam", "a", "b"]
+    hosts = [f"{h}.example.{t}" for h in ("x", "www.y", "m.z", "q") for t in ("net", "com", "org", "info")] + ["h", "", "a.net", "b.org", "c.test"]
+    urls = [f"http://{rng.choice(hosts)}/" + "/".join(rng.choice([*words, str(rng.randint(1, 999)), f"s{rng.randint(1, 40)}", "0123456789abcdef01", ""]) for _ in range(rng.randint(0, 9))) + rng.choice(["", "?q=1", "#t", "/"]) for _ in range(6000)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(1, None), (1, "x"), (2, urls[0])], "page_id long, url string")
+    judged = url_filter.judge(df, url_filter.RULES).collect()
+    mine = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in judged]
+    assert sorted(mine, key=str) == sorted(url_oracle(df), key=str)
+    free = [r for r in judged if r["rule"] is None]
+    assert len({round(r["purity"], 6) for r in free}) > 20 and {r["verdict"] for r in free} == {"allow", "block"}
+    # The rules block every host under net; a template that is bad wherever it is known is rejected elsewhere too.
+    assert all(r["verdict"] == "allow" for r in free if r["host"] == "c.test" and r["path"].startswith("/zz"))
+
+
 def test_url_rules_and_templates(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/de/1?x#y", "http://example.com", "https://x.net/q?a/b", "https://x.net?q", "http://b.example.net/en/", "http://anet/", "http://h.org/fr/1", "x://u/://v/"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(50, urls[4])] * 2
@@ -195,6 +390,7 @@ def test_url_rules_and_templates(spark):
     assert len(got) == len({r[0] for r in rows}) and url_filter.report(df).count() == len(rows)
     see = lambda i: (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"])
     assert see(0) == see(2) == ("", "", None, "allow")
+    assert sorted(map(tuple, url_filter.report(df).collect()), key=str) == sorted(url_oracle(df), key=str)
     assert see(4) == ("a.example.com", "/de/1", "example.com/de/", "block") and see(5) == ("example.com", "", None, "allow")
     assert see(6) == ("x.net", "/q", "net/", "block") and see(7) == ("x.net", "", None, "allow")
     assert see(8) == ("b.example.net", "/en/", "example.net/en/", "allow") and see(9)[2] is None and see(10)[2:] == ("org/fr/", "allow")

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from framewright.llm import byte_bpe, token_counts, token_orc
@@ -93,6 +94,31 @@ def test_orc_files(spark, library, tmp_path):
     assert token_orc.read_token_orc(spark, empty).count() == 0
 
 
+def test_reading_some_documents_skips_the_rest(spark, tmp_path):
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    path = token_orc.write_token_orc(df, WORD, str(tmp_path / "orc"))
+    some = token_orc.read_token_orc(spark, path, [7, 30_500])
+    assert sorted((r["doc_id"], r["start"]) for r in some.collect()) == [(7, 21), (30_500, 91_500)]
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [In(doc_id, [" in plan
+    leaves = some._jdf.queryExecution().executedPlan()
+    scanned = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "Stage" in name and node.children().isEmpty() and hasattr(node, "plan"):
+            return walk(node.plan())
+        if name.startswith("Scan orc"):
+            scanned.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(leaves)
+    assert max(scanned) <= 4000  # two runs of 1,000 rows, not 60,000
+
+
 def test_byte_bpe(spark, library):
     df, rows = odd_rows(spark)
     got = sorted(map(tuple, byte_bpe.round_trip(df, RANKS, ["doc_id"]).collect()), key=str)
