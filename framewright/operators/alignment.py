@@ -82,11 +82,13 @@ def token_alignment(spaced: DataFrame, tokens: DataFrame) -> DataFrame:
     ends = ends.select(*KEY, F.col("e.at").alias("at"), F.col("e.side").alias("side"), nothing.alias("word"), "t")
     held = F.expr("last(word, true) OVER (PARTITION BY dialogue_id, speaker ORDER BY at, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     found = marks.unionByName(ends).withColumn("w", held).where("side > 0")
-    share = (F.col("w.end") - F.col("w.start")) / (F.col("w.c1") - F.col("w.c0"))
-    start = F.max(F.when(F.col("side") == 1, F.col("w.start") + (F.col("at") - F.col("w.c0")) * share)).alias("start")
-    end = F.max(F.when(F.col("side") == 2, F.col("w.start") + (F.col("at") - F.col("w.c0") + 1) * share)).alias("end")
-    out = found.groupBy(*KEY, "t.token_idx").agg(F.first("t.token").alias("token"), F.first("t.token_id").alias("token_id"), start, end)
-    return out.select(*KEY, "token_idx", "token", "token_id", "start", "end")
+    # Tokens do not overlap, so a token's end comes right behind its start.
+    nxt = "OVER (PARTITION BY dialogue_id, speaker ORDER BY at, side)"
+    both = found.select("*", F.expr(f"lead(w) {nxt}").alias("w2"), F.expr(f"lead(at) {nxt}").alias("at2")).where("side = 1")
+    share = lambda w: (F.col(f"{w}.end") - F.col(f"{w}.start")) / (F.col(f"{w}.c1") - F.col(f"{w}.c0"))
+    start = F.col("w.start") + (F.col("at") - F.col("w.c0")) * share("w")
+    end = F.col("w2.start") + (F.col("at2") - F.col("w2.c0") + 1) * share("w2")
+    return both.select(*KEY, "t.token_idx", "t.token", "t.token_id", start.alias("start"), end.alias("end"))
 
 
 def length_mismatch(spaced: DataFrame, tokens: DataFrame) -> DataFrame:

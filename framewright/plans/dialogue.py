@@ -22,16 +22,20 @@ def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.spaced_words(alignment.quarantine(words(spark, sf_dir))[0])
 
 
-def framed(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
-    return alignment.framed_tokens(words(spark, sf_dir), config)
-
-
 def stored(spark: SparkSession, sf_dir: str, name: str, config: StreamConfig, make) -> DataFrame:
     return compute_once(spark, name, [sf_dir, config.to_json()], make)
 
 
+def framed(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
+    def make() -> DataFrame:
+        rows = alignment.framed_tokens(words(spark, sf_dir), config)
+        return rows.select("dialogue_id", "speaker", "token_idx", "token_id", "frame", "num_frames")
+
+    return stored(spark, sf_dir, "framed", config, make)
+
+
 def text(spark: SparkSession, sf_dir: str, config: StreamConfig = DEFAULT) -> DataFrame:
-    return stored(spark, sf_dir, "text", config, lambda: alignment.text_streams(words(spark, sf_dir), config))
+    return stored(spark, sf_dir, "text", config, lambda: alignment.text_stream_grid(alignment.frame_placement(framed(spark, sf_dir, config), config), config))
 
 
 def frames_of(rows: DataFrame) -> DataFrame:
