@@ -207,6 +207,14 @@ def natural_sort(spark, sf_dir):
     return names.select("source", F.expr("cast(row_number() OVER (ORDER BY key, source) AS long)").alias("rank"))  # a name for each source
 
 
+@query(over(MERGED, f"SELECT dialogue_id, speaker, k, len(s)::INTEGER AS n, {check('s')} AS checksum FROM merged"))
+def npz_round_trip(spark, sf_dir):
+    packed = files.pack_npz(dialogue.merged(spark, sf_dir), "dialogue_id")
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("speaker"), F.col(s).alias("streams")) for s in "AB"]))
+    rows = files.unpack_npz(packed, "dialogue_id").select("dialogue_id", sides.alias("x"))
+    return by_stream(rows.select("dialogue_id", "x.speaker", "x.streams"), ["dialogue_id", "speaker"])
+
+
 # Examples
 
 
@@ -312,7 +320,7 @@ def skip_on_resume(spark, sf_dir):
     return streams.skip_on_resume(rows, 3, 2, 5).select("batch_id").distinct()
 
 
-@query()
+@query("SELECT conv_id, row_number() OVER (ORDER BY md5('7:' || conv_id), conv_id) - 1 AS position FROM (SELECT DISTINCT conv_id FROM conversations)")
 def shuffle(spark, sf_dir):
     return streams.shuffled(table(spark, sf_dir, "conversations").select("conv_id").distinct(), "conv_id", 7)
 

@@ -183,8 +183,9 @@ def prompt_prefix(streams: Column, frames: int) -> Column:
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """A repeatable shuffle: order by a hash of the key and the seed."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    """``rows`` with ``position``, their 0-based place in a repeatable shuffle: by the digest of the seed and the key."""
+    named = rows.withColumn("__mixed", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")))
+    return global_rank(named, ["__mixed", key], "position")[0].drop("__mixed")
 
 
 def epoch_plan(examples: DataFrame, per_device: int, processes: int, accumulation: int) -> DataFrame:

@@ -60,10 +60,29 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("step long, metric string, value double, split string").parquet(path).select("step", "split", "metric", "value")
 
 
-def read_npz(spark: SparkSession, path: str, arrays: tuple[str, ...] = ("A", "B")) -> DataFrame:
-    """Compressed array files of older runs: dialogue_id (the stem) and each named array as array<array<int>>."""
-    schema = T.StructType([T.StructField("dialogue_id", T.StringType())] + [T.StructField(a, T.ArrayType(T.ArrayType(T.IntegerType()))) for a in arrays])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select(F.regexp_extract("path", r"([^/]+)\.npz$", 1).alias("dialogue_id"), "content")
+def pack_npz(rows: DataFrame, key: str, arrays: tuple[str, ...] = ("A", "B")) -> DataFrame:
+    """(key, content): each row's arrays as the bytes of one compressed array file, for readers that want such files."""
+
+    def pack(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                buffer = io.BytesIO()
+                np.savez_compressed(buffer, **{a: np.array(row[a], np.int32) for a in arrays})
+                made.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[key, "content"])
+
+    src = rows.select(key, *arrays)
+    return src.mapInArrow(pack, T.StructType([src.schema[key], T.StructField("content", T.BinaryType())]))
+
+
+def unpack_npz(files: DataFrame, key: str, arrays: tuple[str, ...] = ("A", "B")) -> DataFrame:
+    """(key, and each named array as array<array<int>>) of array files' bytes (key, content)."""
 
     def load(batches):
         import io
@@ -71,14 +90,23 @@ def read_npz(spark: SparkSession, path: str, arrays: tuple[str, ...] = ("A", "B"
         import numpy as np
         import pyarrow as pa
 
+        kind = pa.list_(pa.list_(pa.int32()))
         for batch in batches:
-            rows = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = {a: [] for a in arrays}
+            for content in batch.column(1).to_pylist():
                 with np.load(io.BytesIO(content)) as z:
-                    rows.append({"dialogue_id": name} | {a: np.atleast_2d(z[a]).astype(np.int32).tolist() for a in arrays})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("dialogue_id", pa.string())] + [(a, pa.list_(pa.list_(pa.int32()))) for a in arrays]))
+                    for a in arrays:
+                        found[a].append(np.atleast_2d(z[a]).astype(np.int32).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[a], kind) for a in arrays]], names=[key, *arrays])
 
-    return files.mapInArrow(load, schema)
+    src = files.select(key, "content")
+    return src.mapInArrow(load, T.StructType([src.schema[key], *[T.StructField(a, T.ArrayType(T.ArrayType(T.IntegerType()))) for a in arrays]]))
+
+
+def read_npz(spark: SparkSession, path: str, arrays: tuple[str, ...] = ("A", "B")) -> DataFrame:
+    """Compressed array files of older runs: dialogue_id (the stem) and each named array as array<array<int>>."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    return unpack_npz(files.select(F.regexp_extract("path", r"([^/]+)\.npz$", 1).alias("dialogue_id"), "content"), "dialogue_id", arrays)
 
 
 def save_config(spark: SparkSession, config: StreamConfig, path: str) -> None:
