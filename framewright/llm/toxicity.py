@@ -20,6 +20,8 @@ DIMS = 1 << 17
 #: Labelled rows for fitting: at most so many for each value of the last category, those with the least hash of doc_id.
 SAMPLE_PER_CLASS = 4000
 FOLDS = 3
+#: Features of sampled rows that are summed at once.
+PART = 1 << 19
 
 
 def word_features(piece: bytes) -> tuple[int, ...]:
@@ -67,16 +69,28 @@ class _Rows:
         out.n, out.row, out.ids, out.values = int(chosen.sum()), at[self.row[keep]], self.ids[keep], self.values[keep]
         return out
 
+    def _sum(self, to: np.ndarray, size: int, of) -> np.ndarray:
+        """Sums of ``of(part)`` by ``to``, part by part, so that what stands between is small."""
+        out = np.zeros(size)
+        for lo in range(0, len(to), PART):
+            part = slice(lo, lo + PART)
+            out += np.bincount(to[part], of(part), size)
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.values * w[self.ids], self.n)
+        return self._sum(self.row, self.n, lambda part: self.values[part] * w[self.ids[part]])
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.ids, self.values * g[self.row], DIMS)
+        return self._sum(self.ids, DIMS, lambda part: self.values[part] * g[self.row[part]])
+
+    def having(self, y: np.ndarray) -> np.ndarray:
+        """For each feature the sum of ``y`` over the rows that have it."""
+        return self._sum(self.ids, DIMS, lambda part: y[self.row[part]])
 
 
 def _telling(x: _Rows, y: np.ndarray, least: float = 4.0) -> np.ndarray:
     """Which features are in clearly more rows of one class than of the other: two shares that differ by ``least`` standard errors."""
-    pos, neg = np.bincount(x.ids, y[x.row], DIMS), np.bincount(x.ids, 1 - y[x.row], DIMS)
+    pos, neg = x.having(y), x.having(1 - y)
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
     share = (pos + neg) / (n1 + n0)
     z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
@@ -198,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     x = _Rows([v.values.to_numpy() for v in got["ids"]], [v.values.to_numpy() for v in got["shares"]])
     y = np.column_stack([got[c].to_numpy() for c in categories]) if len(got) else np.zeros((0, len(categories)), int)
     del got
+    pa.default_memory_pool().release_unused()
     mix = np.random.default_rng(7).permutation(x.n)  # folds do not follow the order of ids
     back = np.argsort(mix).astype(np.int32)
     x.row = back[x.row]
