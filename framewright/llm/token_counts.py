@@ -1,4 +1,4 @@
-"""Token counts: each distinct pre-token is counted once, joined to the documents' pre-token frequencies, and summed."""
+"""Token counts: in each batch the distinct pre-tokens are counted once, joined to the documents' pre-token frequencies, and summed."""
 
 from __future__ import annotations
 
@@ -6,17 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._session import bound_batches, written
+from ._session import bound_batches, unused
 from ._text import WordBpe, once, pieces, text_slices, word_starts
 
-#: Rows that one task can number: a row's number is its task's number times this, plus its place in the task.
-TASK_ROWS = 1 << 40
-
 
 def _sentencepiece_counter(path: str):
     import sentencepiece
@@ -24,90 +20,53 @@ def _sentencepiece_counter(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _whole_counts(src: DataFrame, path: str, schema: T.StructType) -> DataFrame:
-    """The last column of ``src``, a text, replaced by what a SentencePiece model counts in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = once(("sp", path), lambda: _sentencepiece_counter(path))
-        for batch in batches:
-            n = [len(sp.encode(t or "", num_threads=1)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=schema.names)
-
-    return src.mapInArrow(run, schema)
-
-
-def _frequencies(src: DataFrame, kept: T.StructType) -> DataFrame:
-    """Two kinds of rows from one pass over ``src``, whose last column is the text: ``kept`` with its ``row`` number for each row,
-    and for each slice of texts and each of its distinct pre-tokens, a ``piece``, the rows that have it (from ``row`` on) and how often."""
-    schema = T.StructType([T.StructField("kept", kept), T.StructField("row", T.LongType()), T.StructField("piece", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
-    none = lambda n, t: pa.nulls(n, t)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() * TASK_ROWS
-        ints = pa.list_(pa.int32())
-        for batch in batches:
-            n = batch.num_rows
-            fields = pa.StructArray.from_arrays(batch.columns[:-1], fields=[batch.schema.field(i) for i in range(batch.num_columns - 1)])
-            yield pa.RecordBatch.from_arrays([fields, pa.array(np.arange(row, row + n)), none(n, pa.binary()), none(n, ints), none(n, ints)], names=schema.names)
-            for first, end, raw, offsets in text_slices(batch.column(batch.num_columns - 1)):
-                starts = word_starts(raw, offsets)
-                if not len(starts):
-                    continue
-                coded = pieces(raw, starts)
-                cuts = np.searchsorted(starts, offsets)
-                at = np.repeat(np.arange(end - first, dtype=np.int64), np.diff(cuts))
-                pair, times = np.unique(coded.indices.to_numpy().astype(np.int64) << 32 | at, return_counts=True)
-                bounds = np.searchsorted(pair >> 32, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (pair & 0xFFFFFFFF, times)]
-                m = len(coded.dictionary)
-                for lo in range(0, m, 20_000):
-                    k = min(20_000, m - lo)
-                    yield pa.RecordBatch.from_arrays([none(k, fields.type), pa.array(np.full(k, row + first)), coded.dictionary.slice(lo, k).cast(pa.binary()), lists[0].slice(lo, k), lists[1].slice(lo, k)], names=schema.names)
-            row += n
-
-    return src.mapInArrow(run, schema)
-
-
-def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
-    """(piece, n) of distinct pre-tokens: how many tokens the library makes of each, whose ids are dropped at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = once(("counts", path), lambda: WordBpe(path, limit=20_000, counts=True))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 20_000):
-                some = batch.column(0).slice(lo, 20_000)
-                yield pa.RecordBatch.from_arrays([some, pa.array(bpe.of(some.to_pylist()), pa.int32())], names=["piece", "n"])
-
-    return distinct.mapInArrow(run, "piece binary, n int")
+def frequencies(codes: np.ndarray, cuts: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, pre-token, times) of documents whose pre-tokens are ``codes`` between their ``cuts``; one row for each pair."""
+    document = np.repeat(np.arange(len(cuts) - 1, dtype=np.int64), np.diff(cuts))
+    pair, times = np.unique(document * distinct + codes, return_counts=True)
+    return pair // distinct, pair % distinct, times
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "n_tokens", drop_text: bool = False) -> DataFrame:
     """``df`` with ``out`` (long): how many tokens the library gives for the whole text, without special tokens added.
 
-    Texts are cut into pre-tokens whose ids do not depend on their neighbours. One pass writes each slice's frequencies: a row
-    for each of its distinct pre-tokens, with the documents that have it and how often. The table's distinct pre-tokens are
-    counted once, joined to the frequencies (a pre-token that every document has is a row for each slice, and the join can
-    split it), and the products are summed by document. No document's ids are made. A SentencePiece model has no such
-    pre-tokens, as its pieces may cross words; there each whole text is one unit.
+    Texts are cut into pre-tokens whose ids do not depend on their neighbours. A slice of texts becomes rows (document,
+    pre-token, times) and a table of its distinct pre-tokens; each of those is counted once while it stays in a bounded memo
+    of the worker, which every batch of every task there shares; the rows are joined to the counts and the products summed by
+    document. The library makes ids of a distinct pre-token, which are counted and dropped; none are made for documents. The
+    same join over the whole table was built and measured, and moves several times the texts (README). A SentencePiece model
+    has no such pre-tokens, as its pieces may cross words; there each whole text is one unit.
     Nulls are empty texts, which have 0 tokens. Every row gives one row, repeated rows repeated ones; an existing column
     named ``out`` is replaced; ``drop_text`` leaves the text column out. A very long text is one slice of its own; an empty
     table gives no rows; other columns may have any name.
     """
     bound_batches(df.sparkSession)
-    wanted = [c for c in df.columns if c.lower() != out.lower() and not (drop_text and c == text)]
-    keep = wanted or [text]  # a struct of no columns cannot be stored
-    kept = df.select(*[F.col(f"`{c}`") for c in keep]).schema
-    # The text goes last; a kept column can have its name, as columns are taken by place.
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text of " + "_".join(keep)))
-    if tokenizer_path.endswith(".model"):
-        return _whole_counts(src, tokenizer_path, T.StructType([*kept.fields, T.StructField(out, T.LongType())])).select(*[F.col(f"`{c}`") for c in wanted], out)
-    both = written(_frequencies(src, kept), "token-frequencies")
-    frequencies = both.where("piece IS NOT NULL")
-    counts = piece_counts(frequencies.select("piece").distinct(), tokenizer_path)
-    each = frequencies.join(counts, "piece").select("row", "n", F.explode(F.arrays_zip("at", "times")).alias("x"))
-    sums = each.groupBy((F.col("row") + F.col("x.at")).alias("row")).agg(F.sum(F.col("n").cast("long") * F.col("x.times")).alias("total"))
-    rows = both.where("piece IS NULL").select("kept", "row").join(sums, "row", "left")
-    return rows.select(*[F.col("kept").getField(c).alias(c) for c in wanted], F.coalesce("total", F.lit(0)).cast("long").alias(out))
+    keep = [c for c in df.columns if c.lower() != out.lower() and not (drop_text and c == text)]
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused("text", *keep)))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField(out, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer_path.endswith(".model"):
+            sp = once(("sp", tokenizer_path), lambda: _sentencepiece_counter(tokenizer_path))
+        else:
+            bpe = once(("counts", tokenizer_path), lambda: WordBpe(tokenizer_path, counts=True))
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            n = np.zeros(batch.num_rows, np.int64)
+            if tokenizer_path.endswith(".model"):
+                n[:] = [len(sp.encode(t or "", num_threads=1)) for t in column.to_pylist()]
+            else:
+                for first, end, raw, offsets in text_slices(column):
+                    starts = word_starts(raw, offsets)
+                    if not len(starts):
+                        continue
+                    coded = pieces(raw, starts)
+                    each = np.array(bpe.of(coded.dictionary.to_pylist()), np.int64)
+                    document, piece, times = frequencies(coded.indices.to_numpy(), np.searchsorted(starts, offsets), len(each))
+                    np.add.at(n, first + document, times * each[piece])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=schema.names)
+
+    return src.mapInArrow(run, schema)
 
 
 def token_report(df: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
