@@ -133,8 +133,12 @@ def incomplete_groups(shards: DataFrame, world: int) -> DataFrame:
     return shards.groupBy("group").agg(F.count("*").alias("shards")).where(F.col("shards") != world)
 
 
-def merge_param_slices(shards: DataFrame, world: int) -> DataFrame:
-    """(param, numel, values): every rank holds ceil(numel / world) values of each param, the last padded; joined in rank order and trimmed."""
+def merge_param_slices(shards: DataFrame, world: int, strict: bool = True) -> DataFrame:
+    """(param, numel, values): every rank holds ceil(numel / world) values of each param, the last padded; joined in rank order and trimmed.
+
+    A param without ``world`` slices, or with too few values, is an error; without ``strict`` it has the values that are there,
+    and ``size(values) < numel`` or ``incomplete_groups`` tells it.
+    """
     grouped = shards.groupBy("param").agg(F.max("numel").alias("numel"), F.count("*").alias("ranks"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "values"))), lambda s: s["values"])).alias("flat"))
     ok = F.when((F.col("ranks") != world) | (F.size("flat") < F.col("numel")), F.raise_error(F.concat(F.lit("slices are missing of "), F.col("param")))).otherwise(F.lit(True))
-    return grouped.where(ok).select("param", "numel", F.slice("flat", F.lit(1), F.col("numel").cast("int")).alias("values"))
+    return (grouped.where(ok) if strict else grouped).select("param", "numel", F.slice("flat", F.lit(1), F.col("numel").cast("int")).alias("values"))

@@ -97,6 +97,17 @@ def test_shards(spark):
         weights.merge_param_slices(s3, 3).collect()
 
 
+def test_last_param_with_fewer_slices(spark, tmp_path):
+    from framewright.catalog import ORACLES, QUERIES
+
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, [float(i + j) for j in range(64)]) for i in range(10)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = duckdb.sql(ORACLES["merge_param_slices"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in QUERIES["merge_param_slices"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 3
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t").mkdir()
     words = [{"speaker": "B", "word": "hi", "start": 0.1, "end": 0.2}, {"speaker": "A", "word": "α", "start": 0.0, "end": 0.2}]
