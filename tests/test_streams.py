@@ -1,3 +1,4 @@
+import math
 import random
 from dataclasses import replace
 
@@ -95,3 +96,32 @@ def test_sampling_and_plans(spark):
     assert [g[0] for g in got] == [1, 3] and abs(got[0][1] - 0.5) < 1e-9
     assert streams.sampling_candidates(df, "k", top_p=0.1).count() == 1
     assert streams.epoch_plan(spark.range(25), 2, 3, 2).first() == (25, 12, 3)
+
+
+def test_pieces_without_arrays_and_at_once(spark):
+    config = StreamConfig(max_length=4, min_length=3)
+    rows = spark.createDataFrame([(k, n, [list(range(n)), list(range(10, 10 + n))]) for k, n in enumerate((0, 1, 3, 4, 5, 7, 9, 30))], "k int, num_frames int, streams array<array<int>>")
+    whole = streams.split_streams(rows, config)
+    want = []
+    for k, n, s in rows.collect():
+        parts = max(-(-n // 4), 1)
+        at = 0
+        for c in range(parts):
+            size = n // parts + (c < n % parts)
+            if size >= 3:
+                want.append((k, c, size, [x[at : at + size] for x in s]))
+            at += size
+    assert sorted(tuple(r) for r in whole.select("k", "chunk", "num_frames", "streams").collect()) == want
+    sizes = streams.split_streams(rows.drop("streams"), config)
+    assert sorted(tuple(r) for r in sizes.select("k", "chunk", "num_frames").collect()) == [w[:3] for w in want]
+
+
+def test_audio_by_ramp_is_the_formula(spark):
+    from framewright.plans.dialogue import with_audio
+
+    rows = spark.createDataFrame([(d, s, [3] * n) for d, n in (("0", 1), ("7", 40), ("65", 5000), ("-3", 20)) for s in "AB"], "dialogue_id string, speaker string, text array<int>")
+    for n in (2048, 14):  # 14 has no ramp
+        for r in with_audio(rows, StreamConfig(audio_initial_id=n)).collect():
+            x = int(r["dialogue_id"]) * 31 + 5 * (r["speaker"] == "B")
+            assert len(r["audio"]) == 8 and all(v == math.fmod(x + k * 17 + t * 7, n) for k, s in enumerate(r["audio"]) for t, v in enumerate(s))
+            assert {len(s) for s in r["audio"]} == {r["frames"]}

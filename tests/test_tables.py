@@ -108,6 +108,21 @@ def test_last_param_with_fewer_slices(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(got) == 3
 
 
+def test_stages_of_long_arrays_hold_few_rows(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    def make():
+        return spark.range(300, numPartitions=1).select("id", F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.hash(i * 31 + F.col("id"))).alias("s"))
+
+    rows = stages.compute_once(spark, "long-arrays", [1], make)
+    scan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Batched: false" in scan or "ColumnarToRow" not in scan
+    (path,) = glob.glob(f"{rows.inputFiles()[0].removeprefix('file://')}")
+    assert pq.ParquetFile(path).metadata.num_row_groups > 1 and rows.where(F.size("s") == 40_000).count() == 300
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t").mkdir()
     words = [{"speaker": "B", "word": "hi", "start": 0.1, "end": 0.2}, {"speaker": "A", "word": "α", "start": 0.0, "end": 0.2}]
