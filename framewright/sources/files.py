@@ -71,8 +71,8 @@ def pack_npz(rows: DataFrame, key: str, arrays: tuple[str, ...] = ("A", "B")) ->
 
         for batch in batches:
             made = []
-            for row in batch.to_pylist():
-                buffer = io.BytesIO()
+            for i in range(batch.num_rows):  # the numbers of one row at a time
+                buffer, row = io.BytesIO(), batch.slice(i, 1).to_pylist()[0]
                 np.savez_compressed(buffer, **{a: np.array(row[a], np.int32) for a in arrays})
                 made.append(buffer.getvalue())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[key, "content"])
@@ -92,12 +92,10 @@ def unpack_npz(files: DataFrame, key: str, arrays: tuple[str, ...] = ("A", "B"))
 
         kind = pa.list_(pa.list_(pa.int32()))
         for batch in batches:
-            found = {a: [] for a in arrays}
-            for content in batch.column(1).to_pylist():
-                with np.load(io.BytesIO(content)) as z:
-                    for a in arrays:
-                        found[a].append(np.atleast_2d(z[a]).astype(np.int32).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[a], kind) for a in arrays]], names=[key, *arrays])
+            for i in range(batch.num_rows):  # a file is small beside its arrays: each row is a batch
+                with np.load(io.BytesIO(batch.column(1)[i].as_py())) as z:
+                    found = [pa.array([np.atleast_2d(z[a]).astype(np.int32).tolist()], kind) for a in arrays]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *found], names=[key, *arrays])
 
     src = files.select(key, "content")
     return src.mapInArrow(load, T.StructType([src.schema[key], *[T.StructField(a, T.ArrayType(T.ArrayType(T.IntegerType()))) for a in arrays]]))

@@ -108,6 +108,12 @@ def test_last_param_with_fewer_slices(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(got) == 3
 
 
+def test_array_files_come_back_row_by_row(spark):
+    rows = spark.createDataFrame([(str(k), [[k, 1, 2]] * 2, [[k]]) for k in range(40)], "dialogue_id string, A array<array<int>>, B array<array<int>>").coalesce(1)
+    again = files.unpack_npz(files.pack_npz(rows, "dialogue_id"), "dialogue_id")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_stages_of_long_arrays_hold_few_rows(spark):
     import glob
 
