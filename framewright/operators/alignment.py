@@ -166,6 +166,25 @@ def text_stream_grid(cells: DataFrame, config: StreamConfig = DEFAULT) -> DataFr
     return grouped.select(*KEY, grid.alias("text"))
 
 
+def text_windows(cells: DataFrame, size: int, before: int, config: StreamConfig = DEFAULT) -> DataFrame:
+    """(dialogue_id, speaker, part, num_frames, text): the streams of ``text_stream_grid`` in windows, so that no row is as long as a stream.
+
+    Window ``part`` holds the frames from part * size - before (or 0) to (part + 1) * size, or to the end. Each cell brings the
+    padding since the cell before it, and the last one that to the end, to every window that they lie in.
+    """
+    pad, order = F.lit(config.text_padding_id), "PARTITION BY dialogue_id, speaker ORDER BY slot"
+    rows = cells.withColumn("lo", F.expr(f"coalesce(lag(slot) OVER ({order}) + 1, 0)"))
+    rows = rows.withColumn("hi", F.expr(f"if(lead(slot) OVER ({order}) IS NULL, num_frames - 1, slot)"))
+    windows = F.expr(f"sequence(cast(lo div {size} AS int), cast(least((hi + {before}) div {size}, (num_frames - 1) div {size}) AS int))")
+    rows = rows.select(*KEY, "num_frames", "lo", "hi", "slot", "id", F.explode(windows).alias("part"))
+    first, last = F.greatest("lo", F.col("part") * size - before), F.least("hi", F.col("part") * size + (size - 1))
+    runs = rows.select(*KEY, "part", "num_frames", F.struct(first.alias("lo"), last.alias("hi"), "slot", "id").alias("r"))
+    grouped = runs.groupBy(*KEY, "part").agg(F.max("num_frames").alias("num_frames"), F.sort_array(F.collect_list("r")).alias("rs"))
+    filled = lambda r: F.concat(F.array_repeat(pad, r.slot - r.lo), F.array(r.id), F.array_repeat(pad, r.hi - r.slot))
+    text = F.flatten(F.transform("rs", lambda r: F.when((r.slot >= r.lo) & (r.slot <= r.hi), filled(r)).otherwise(F.array_repeat(pad, r.hi - r.lo + 1))))
+    return grouped.select(*KEY, "part", "num_frames", text.alias("text"))
+
+
 def align_or_set_aside(words: DataFrame, pieces=stand_in_pieces, ids=stand_in_id, encode: Callable[[Column], Column] | None = None, spaces: bool = True) -> tuple[DataFrame, DataFrame]:
     """(aligned tokens, (dialogue_id, error)): every failure sets its whole dialogue aside, with the first error by name.
 

@@ -90,11 +90,13 @@ def split_channels(streams: Column, channels: int = 8) -> tuple[Column, Column]:
 
 
 def main_speaker_streams(merged: DataFrame, speakers: tuple[str, ...] = ("A", "B")) -> DataFrame:
-    """(dialogue_id, speaker, streams): a view for each requested main speaker, its streams above the other's audio."""
+    """(dialogue_id, speaker, streams): a view for each requested main speaker, its streams above the other's audio. Columns besides
+    A and B stay."""
     other = {"A": "B", "B": "A"}
     views = F.array(*[F.struct(F.lit(s).alias("speaker"), F.concat(F.col(s), F.slice(F.col(other[s]), F.lit(2), F.greatest(F.size(other[s]) - 1, F.lit(0)))).alias("streams")) for s in speakers])
     equal = F.size(F.array_distinct(F.transform(F.concat("A", "B"), lambda s: F.size(s)))) == 1
-    return merged.where(equal).select("dialogue_id", F.explode(views).alias("v")).select("dialogue_id", "v.speaker", "v.streams")
+    more = [c for c in merged.columns if c not in ("dialogue_id", "A", "B")]
+    return merged.where(equal).select("dialogue_id", *more, F.explode(views).alias("v")).select("dialogue_id", "v.speaker", *more, "v.streams")
 
 
 def delay_streams(streams: Column, config: StreamConfig = DEFAULT) -> Column:
@@ -139,6 +141,53 @@ def split_streams(rows: DataFrame, config: StreamConfig = DEFAULT) -> DataFrame:
     return cut.select(*[F.col(f"__p.{c}").alias(c) if c in made else c for c in order])
 
 
+def frames_before(config: StreamConfig = DEFAULT) -> int:
+    """How many frames a window must hold before its own, so that ``split_windows`` finds each piece in one window."""
+    return config.max_length + max(config.delays) + 1
+
+
+def split_windows(windows: DataFrame, size: int, config: StreamConfig = DEFAULT) -> DataFrame:
+    """(dialogue_id, speaker, chunk, num_frames, streams): the pieces that ``split_streams`` makes of ``delay_streams``, from windows.
+
+    ``windows`` (dialogue_id, speaker, part, frames, streams) hold the frames from part * size - frames_before (or 0) to
+    (part + 1) * size of streams of ``frames`` frames, before any delay. A piece is cut from the window of its last frame. No row
+    is as long as a stream, so a long dialogue takes no more memory than a short one.
+    """
+    most, bound = max(config.delays), config.max_length
+    initial, pad, late = _ints(config.initial_ids), _ints(config.padding_ids), _ints(config.delays)
+    frames, at = F.col("frames"), F.col("part") * size
+    n = frames + (1 + most)
+    k = F.ceil(n / bound).cast("int")
+    rows = windows.withColumn("__n", n.cast("int")).withColumn("__k", k).withColumn("__from", F.greatest(at - frames_before(config), F.lit(0)).cast("int"))
+    sizes = lambda c: even_sizes(F.col("__n"), F.col("__k"), c)
+    base = F.floor(F.col("__n") / F.col("__k")).cast("int")
+
+    def here(c: Column) -> Column:
+        off, many = sizes(c)
+        end = F.greatest(F.least(off + many - 2, frames - 1), F.lit(0))
+        found = (end >= at) & (end < at + size)
+        return found & (many >= config.min_length) if config.min_length else found
+
+    # Pieces are base or base + 1 long, so those that end in a window are not far from these two.
+    low = F.greatest(F.floor(at / (base + 1)).cast("int") - 2, F.lit(0))
+    high = F.when(at + size >= frames, F.col("__k") - 1).otherwise(F.least(F.ceil((at + size + 2) / base).cast("int"), F.col("__k") - 1))
+
+    def piece(c: Column) -> Column:
+        off, many = sizes(c)
+
+        def cut(s: Column, i: Column) -> Column:
+            begin = F.get(late, i) + 1
+            ahead = F.least(F.greatest(begin - off, F.lit(0)), many)
+            behind = F.least(F.greatest(off + many - begin - frames, F.lit(0)), many)
+            first = F.greatest(off - begin, F.lit(0)) - F.col("__from") + 1
+            return F.concat(F.array_repeat(F.get(initial, i), ahead), F.slice(s, first, many - ahead - behind), F.array_repeat(F.get(pad, i), behind))
+
+        return F.struct(c.alias("chunk"), many.alias("num_frames"), F.transform("streams", cut).alias("streams"))
+
+    chunks = F.filter(F.sequence(low, F.greatest(high, low)), lambda c: (c <= high) & here(c))
+    return rows.select("dialogue_id", "speaker", F.explode(F.transform(chunks, piece)).alias("__p")).select("dialogue_id", "speaker", "__p.chunk", "__p.num_frames", "__p.streams")
+
+
 def stream_labels(streams: Column, config: StreamConfig = DEFAULT) -> Column:
     """Values below their stream's initial id; zero id elsewhere."""
     initial = _ints(config.initial_ids)
@@ -152,7 +201,11 @@ def training_examples(merged: DataFrame, config: StreamConfig = DEFAULT, speaker
 
 def examples_of_delayed(rows: DataFrame, config: StreamConfig = DEFAULT) -> DataFrame:
     """The training examples of delayed views (dialogue_id, speaker, streams)."""
-    cut = split_streams(rows, config)
+    return labelled(split_streams(rows, config), config)
+
+
+def labelled(cut: DataFrame, config: StreamConfig = DEFAULT) -> DataFrame:
+    """The training examples of pieces (dialogue_id, speaker, chunk, num_frames, streams)."""
     return cut.select("dialogue_id", "speaker", "chunk", F.size("streams").alias("num_streams"), "num_frames", "streams", stream_labels(F.col("streams"), config).alias("labels"))
 
 

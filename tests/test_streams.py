@@ -125,3 +125,50 @@ def test_audio_by_ramp_is_the_formula(spark):
             x = int(r["dialogue_id"]) * 31 + 5 * (r["speaker"] == "B")
             assert len(r["audio"]) == 8 and all(v == math.fmod(x + k * 17 + t * 7, n) for k, s in enumerate(r["audio"]) for t, v in enumerate(s))
             assert {len(s) for s in r["audio"]} == {r["frames"]}
+
+
+@pytest.mark.parametrize("late, bound, least", [((0, 0, 1, 2), 5, None), ((0, 3, 1, 0), 4, 3), ((0, 0, 0, 0), 7, None), ((2, 0, 5, 1), 1, None)])
+def test_pieces_of_windows_are_those_of_whole_streams(spark, late, bound, least):
+    config, size = replace(SMALL, delays=late, max_length=bound, min_length=least), 8
+    rng = random.Random(5)
+    lengths = [1, 2, 3, 7, 8, 9, 15, 16, 17, 23, 40, 64, 65, 101]
+    rows = [(str(n), [[rng.randrange(49) for _ in range(n)] for _ in late]) for n in lengths]
+    before = streams.frames_before(config)
+    parts = [(d, "A", p, len(x[0]), [s[max(p * size - before, 0) : (p + 1) * size] for s in x]) for d, x in rows for p in range(-(-len(x[0]) // size))]
+    got = streams.split_windows(spark.createDataFrame(parts, "dialogue_id string, speaker string, part int, frames int, streams array<array<int>>"), size, config)
+    whole = spark.createDataFrame([(d, "A", x) for d, x in rows], "dialogue_id string, speaker string, streams array<array<int>>")
+    want = streams.split_streams(whole.withColumn("streams", streams.delay_streams(F.col("streams"), config)), config)
+    order = ["dialogue_id", "speaker", "chunk", "num_frames", "streams"]
+    assert sorted(map(tuple, got.select(order).collect())) == sorted(map(tuple, want.select(order).collect()))
+
+
+def test_text_in_windows_is_the_text(spark):
+    from framewright.operators import alignment
+
+    rng, cells = random.Random(6), []
+    for d, n in enumerate([1, 2, 8, 9, 16, 50, 77]):
+        some = sorted(rng.sample(range(n), max(1, n // 6)))
+        cells += [(str(d), s, n, t, 1000 + t) for s, slots in (("A", some), ("B", some[:1])) for t in slots]
+    df = spark.createDataFrame(cells, "dialogue_id string, speaker string, num_frames int, slot int, id int")
+    whole = {(r.dialogue_id, r.speaker): r.text for r in alignment.text_stream_grid(df).collect()}
+    got = {(r.dialogue_id, r.speaker, r.part): r.text for r in alignment.text_windows(df, 8, 3).collect()}
+    assert got == {(*k, p): t[max(p * 8 - 3, 0) : (p + 1) * 8] for k, t in whole.items() for p in range(-(-len(t) // 8))}
+
+
+def test_long_dialogue_in_windows(spark, tmp_path):
+    """Rows of the stages that examples are made of do not grow with a dialogue, and give what whole rows give."""
+    from framewright.config import DEFAULT
+    from framewright.plans import dialogue
+
+    turns = [(c, i, ("user", "assistant")[i % 2], " ".join(f"w{c}{i}{j}" for j in range(n))) for c, (k, n) in enumerate([(40, 60), (3, 5), (90, 40), (1, 9)]) for i in range(k)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = dialogue.merged_windows(spark, str(tmp_path))
+    assert rows.select(F.max(F.size(F.get("A", F.lit(0))))).first()[0] <= dialogue.WINDOW + streams.frames_before(DEFAULT) < 3000 < dialogue.merged(spark, str(tmp_path)).select(F.max(F.size(F.get("A", F.lit(0))))).first()[0]
+    kept = ["dialogue_id", "speaker", "chunk", "num_streams", "num_frames", "streams", "labels"]
+    want = streams.training_examples(dialogue.merged(spark, str(tmp_path)))
+    assert sorted(map(tuple, dialogue.examples(spark, str(tmp_path)).select(kept).collect())) == sorted(map(tuple, want.select(kept).collect()))
+    own = {(r.dialogue_id, r.speaker, k): [] for r in dialogue.sides(rows).collect() for k in range(9)}
+    for r in sorted(dialogue.sides(rows).collect(), key=lambda r: r.part):
+        for k in range(9):
+            own[r.dialogue_id, r.speaker, k] += r.streams[k]
+    assert own == {(r.dialogue_id, s, k): r[s][k] for r in dialogue.merged(spark, str(tmp_path)).collect() for s in "AB" for k in range(9)}
