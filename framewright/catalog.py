@@ -247,7 +247,7 @@ def generated_tokens(spark, sf_dir):
 def split_streams(spark, sf_dir):
     from dataclasses import replace
 
-    return by_stream(streams.split_streams(dialogue.delayed(spark, sf_dir), replace(DEFAULT, min_length=None)), ["dialogue_id", "speaker", "chunk"])
+    return by_stream(streams.split_windows(dialogue.view_windows(spark, sf_dir), dialogue.WINDOW, replace(DEFAULT, min_length=None)), ["dialogue_id", "speaker", "chunk"])
 
 
 @query(over(MERGED, "SELECT dialogue_id, speaker, chunk, num_frames FROM chunks WHERE k = 0 AND num_frames >= 50"))
