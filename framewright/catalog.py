@@ -135,11 +135,12 @@ def merge_streams(spark, sf_dir):
 
 @query(over(MERGED, f"SELECT dialogue_id, speaker, CASE WHEN k <= 4 THEN 0 ELSE 1 END AS half, (k - 1) % 4 AS k, {check('s')} AS checksum FROM merged WHERE k > 0"))
 def split_channels(spark, sf_dir):
-    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("speaker"), F.slice(s, 2, 8).alias("s")) for s in "AB"])).alias("x")
-    rows = dialogue.merged(spark, sf_dir).select("dialogue_id", sides).select("dialogue_id", "x.speaker", "x.s")
+    rows = dialogue.sides(dialogue.merged_windows(spark, sf_dir)).select("dialogue_id", "speaker", "part", F.slice("streams", 2, 8).alias("s"))
     halves = streams.split_channels(F.col("s"), 4)
-    out = rows.select("dialogue_id", "speaker", F.posexplode(F.array(*halves)).alias("half", "streams")).select("dialogue_id", "speaker", "half", F.posexplode("streams").alias("k", "s"))
-    return out.select("dialogue_id", "speaker", "half", "k", checksum(F.col("s")).alias("checksum"))
+    out = rows.select("dialogue_id", "speaker", "part", F.posexplode(F.array(*halves)).alias("half", "streams")).select("dialogue_id", "speaker", "part", "half", F.posexplode("streams").alias("k", "s"))
+    # A window's checksum counts from its own first frame; its values weigh as many more as frames are before it.
+    value = checksum(F.col("s")) + F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x) * F.col("part") * dialogue.WINDOW
+    return out.groupBy("dialogue_id", "speaker", "half", "k").agg(F.sum(value).alias("checksum"))
 
 
 _AUDIO_SIZES = MERGED + """, sized AS (
