@@ -311,7 +311,7 @@ def attention_mask(spark, sf_dir):
 
 @query(over(MERGED, f"SELECT example_id, k, {check('list_slice(input_ids, 1, 10)')} AS checksum FROM padded"))
 def prompt_prefix(spark, sf_dir):
-    rows = dialogue.batched(spark, sf_dir).select("example_id", F.posexplode(streams.prompt_prefix(F.col("input_ids"), 10)).alias("k", "s"))
+    rows = dialogue.batched(spark, sf_dir, most=10).select("example_id", F.posexplode(streams.prompt_prefix(F.col("input_ids"), 10)).alias("k", "s"))
     return rows.select("example_id", "k", checksum(F.col("s")).alias("checksum"))
 
 

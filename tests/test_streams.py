@@ -172,3 +172,13 @@ def test_long_dialogue_in_windows(spark, tmp_path):
         for k in range(9):
             own[r.dialogue_id, r.speaker, k] += r.streams[k]
     assert own == {(r.dialogue_id, s, k): r[s][k] for r in dialogue.merged(spark, str(tmp_path)).collect() for s in "AB" for k in range(9)}
+
+
+def test_prefix_is_cut_before_examples_are_dealt(spark):
+    from framewright.plans import dialogue
+
+    sf = "/root/testdata/sf0.001"
+    prefix = lambda rows: {(r.example_id, tuple(map(tuple, r.p))) for r in rows.select("example_id", streams.prompt_prefix(F.col("input_ids"), 20).alias("p")).collect()}
+    cut = dialogue.batched(spark, sf, most=20)
+    assert cut.select(F.max(F.size(F.get("input_ids", F.lit(0))))).first()[0] == 20
+    assert prefix(cut) == prefix(dialogue.batched(spark, sf))
