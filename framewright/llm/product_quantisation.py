@@ -25,12 +25,14 @@ DEVIATIONS = 3.0
 #: Vectors of each list that are compared with all others, to see how far probes must reach for the links that there are; and
 #: the margin on top.
 TRIALS, MARGIN = 8, 1.15
+#: So many links of the compared vectors say how long links are; with fewer, they count as long as they may be.
+SEEN = 200
 #: Queries of a block that are compared at once.
 BLOCK = 512
 #: One side of a block is at most so many times as long and so many bytes; larger lists are split in blocks that all meet. The
 #: longer the sides, the fewer copies travel.
-SIDE = 8
-SIDE_BYTES = 4 << 20
+SIDE = 32
+SIDE_BYTES = 8 << 20
 
 
 @dataclass
@@ -141,6 +143,17 @@ def _usual_reach(index: Index, sample: np.ndarray, full: float) -> np.ndarray:
     return out
 
 
+def _reach(index: Index, sample: np.ndarray, trial: list[tuple[int, float, int]], full: float) -> np.ndarray:
+    """For each list how far its vectors reach. ``trial`` has (list, need, links) of the links of the compared vectors and, under
+    the number of lists, how long the longest of them is and how many there are."""
+    longest = max([need * MARGIN for c, need, times in trial if c == len(index.coarse) and times >= SEEN], default=full)
+    out = _usual_reach(index, sample, min(full, longest))
+    for c, need, _ in trial:
+        if c < len(out):
+            out[c] = min(full, max(out[c], need * MARGIN))
+    return out
+
+
 def _probes(index: Index, d: np.ndarray, own: np.ndarray, reach: np.ndarray, extent: np.ndarray) -> list[np.ndarray]:
     """For each vector the lists that need at most its own list's ``reach``, from its own number on."""
     ok = _needed(index, d, own, extent) <= reach[own][:, None] + 1e-5
@@ -173,8 +186,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec: str = "embedding")
     Vectors link at a cosine of at least ``least`` in double precision. Equal vectors are one entry with its number of rows
     and least vec_id, by partial aggregation. Each entry is in the inverted list of its nearest centroid, by its residual
     codes, and asks the lists within reach by the real extent of their entries: as far as offsets like the residuals of its
-    list go, and as the links of a sample of every list, compared with all vectors, are found to need, with a margin; at most
-    the full distance, which passes over none. In a list the codes' distance less the entry's own error decides, so none is
+    list go, if links are at most as long as those of a sample of every list, compared with all vectors, and as these links are
+    found to need, both with a margin; at most the full distance, which passes over none. In a list the codes' distance less the entry's own error decides, so none is
     passed over there. Recall is measured, in the tests and the README. Of two lists only the vectors of the one with the
     lower number ask the other, and what they find counts for both sides. Each length of vectors has its own index. Lists are
     dealt in blocks, so a crowded list is many groups. Links are counted, and only a spanning set of each block is kept for
@@ -258,17 +271,19 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
         ix, asking = index.value, trials.value
         home, d = ix.nearest(asking)
         need = _needed(ix, d, home, extents.value)
-        most = np.full(lists_of, -1.0)
+        most, times = np.full(lists_of + 1, -1.0), np.zeros(lists_of + 1, np.int64)  # the last for the lengths of all links
         for batch in batches:
-            a, b = np.nonzero(_unit(_stored(batch.column(0), kind)) @ asking.T >= least)
+            cosine = _unit(_stored(batch.column(0), kind)) @ asking.T
+            a, b = np.nonzero(cosine >= least)
             np.maximum.at(most, home[b], need[b, batch.column(1).to_numpy()[a]])
+            lengths_of = np.sqrt(np.maximum(0.0, 2 - 2 * cosine[a, b]))
+            lengths_of = lengths_of[lengths_of > 1e-4]  # not with itself
+            most[-1], times[-1] = max(most[-1], lengths_of.max(initial=-1.0)), times[-1] + len(lengths_of)
         found = np.flatnonzero(most > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(most[found])], names=["list", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(most[found]), pa.array(times[found])], names=["list", "need", "times"])
 
-    reach = _usual_reach(index.value, some, farthest)
-    for row in placed.select("x", "list").mapInArrow(tried, "list int, need double").groupBy("list").agg(F.max("need").alias("need")).collect():
-        reach[row["list"]] = min(farthest, max(reach[row["list"]], row["need"] * MARGIN))
-    reaches = spark.sparkContext.broadcast(reach)
+    trial = placed.select("x", "list").mapInArrow(tried, "list int, need double, times long").groupBy("list").agg(F.max("need").alias("need"), F.sum("times").alias("times")).collect()
+    reaches = spark.sparkContext.broadcast(_reach(index.value, some, [(r["list"], r["need"], r["times"]) for r in trial], farthest))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,13 +295,15 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
     asked = asked.select("node", "n", "x", F.explode("probes").alias("at"), "list").select("node", "n", "x", "at", (F.col("list") == F.col("at")).alias("home"))
     side = max(BLOCK, min(SIDE * BLOCK, SIDE_BYTES // (8 * lengths)))
     held = placed.groupBy("list").agg(F.ceil(F.count("*") / side).cast("int").alias("parts")).withColumnRenamed("list", "at")
-    asks = asked.groupBy("at").agg(F.ceil(F.count("*") / side).cast("int").alias("askers"))
-    plan = F.broadcast(held.join(asks, "at"))  # at most MOST_LISTS rows
+    asks = asked.groupBy("at").agg(F.count("*").alias("asks"), F.count_if(~F.col("home")).alias("away"))
+    # A list of one part compares its own entries as they are; of more parts, they travel as askers too. At most MOST_LISTS rows.
+    many = F.greatest(F.ceil(F.when(F.col("parts") == 1, F.col("away")).otherwise(F.col("asks")) / side), F.lit(1)).cast("int")
+    plan = F.broadcast(held.join(asks, "at").select("at", "parts", many.alias("askers")))
     part = F.pmod(F.hash("node", F.lit(11)), F.col("parts"))
     asker = F.pmod(F.hash("node", F.lit(13)), F.col("askers"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("codes", "binary"), ("error", "double"))]
-    entry_rows = placed.withColumnRenamed("list", "at").join(plan, "at").withColumn("part", part).withColumn("asker", F.explode(F.expr("sequence(0, askers - 1)"))).select("at", "part", "asker", F.struct("node", "x", "n", F.lit(False).alias("home"), "codes", "error").alias("e"))
-    query_rows = asked.join(plan, "at").withColumn("asker", asker).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("at", "part", "asker", F.struct("node", "x", "n", "home", *nothing).alias("e"))
+    entry_rows = placed.withColumnRenamed("list", "at").join(plan, "at").withColumn("part", part).withColumn("asker", F.explode(F.expr("sequence(0, askers - 1)"))).select("at", "part", "asker", F.struct("node", "x", "n", ((F.col("parts") == 1) & (F.col("asker") == 0)).alias("home"), "codes", "error").alias("e"))
+    query_rows = asked.join(plan, "at").where("NOT home OR parts > 1").withColumn("asker", asker).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("at", "part", "asker", F.struct("node", "x", "n", "home", *nothing).alias("e"))
     blocks = entry_rows.unionByName(query_rows).groupBy("at", "part", "asker").agg(F.collect_list("e").alias("es")).select("at", "es")
 
     block = BLOCK
@@ -298,10 +315,11 @@ def _links(usable: DataFrame, total: int, least: float) -> DataFrame:
                 es = batch.column(1).slice(r, 1).flatten()
                 is_entry = np.array(es.field("codes").is_valid())
                 e, q = np.flatnonzero(is_entry), np.flatnonzero(~is_entry)
+                home = es.field("home").to_numpy(zero_copy_only=False).astype(bool)
+                q = np.concatenate([e[home[e]], q])  # entries that ask in their own list
                 if not len(e) or not len(q):
                     continue
                 node, n, x = es.field("node").to_numpy(), es.field("n").to_numpy(), _unit(_stored(es.field("x"), kind))
-                home = es.field("home").to_numpy(zero_copy_only=False).astype(bool)
                 codes = np.frombuffer(b"".join(es.field("codes").take(pa.array(e)).to_pylist()), np.uint8).reshape(len(e), -1)
                 error = es.field("error").take(pa.array(e)).to_numpy(zero_copy_only=False)
                 for lo in range(0, len(q), block):

@@ -214,3 +214,28 @@ def test_full_reach_asks_every_list_that_holds_a_link():
     for lo in range(0, len(x), 1000):
         a, b = np.nonzero(x[lo : lo + 1000] @ x.T >= 0.9)
         assert (asked[a + lo, lists[b]] | asked[b, lists[a + lo]]).all()
+
+
+def test_short_links_ask_fewer_lists():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    product_quantisation.PER_LIST, was = 150, product_quantisation.PER_LIST
+    index = product_quantisation.fit(x, len(x))
+    product_quantisation.PER_LIST = was
+    full, k = np.sqrt(0.2), len(index.coarse)
+    lists, d = index.nearest(x)
+    some, extent = product_quantisation._extent(index, lists, d)
+    whole = np.full((k, k + 1), np.inf, np.float32)
+    whole[some] = extent
+    asked = lambda trial: sum(map(len, product_quantisation._probes(index, d, lists, product_quantisation._reach(index, x, trial, full), whole)))
+    assert asked([(k, 0.2, 5000)]) < 0.7 * asked([])
+    assert asked([(k, 0.2, 5)]) == asked([])  # a few links say nothing
+    assert (product_quantisation._reach(index, x, [(3, 0.3, 0), (k, 0.2, 5000)], full)[3]) == 0.3 * product_quantisation.MARGIN
+    y = x + rng.normal(size=x.shape) * 0.02  # links as long as those that were seen
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    theirs, dy = index.nearest(y)
+    length = np.linalg.norm(x - y, axis=1)
+    reach = product_quantisation._reach(index, x, [(k, length.max(), 5000)], full)
+    mine, other = product_quantisation._probes(index, d, lists, reach, whole), product_quantisation._probes(index, dy, theirs, reach, whole)
+    assert np.mean([b in m or a in o for a, b, m, o in zip(lists, theirs, mine, other)]) > 0.995
