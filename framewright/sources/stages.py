@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +42,12 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
-def compute_once(spark: SparkSession, name: str, of: list, make: Callable[[], DataFrame]) -> DataFrame:
+def compute_once(spark: SparkSession, name: str, of: list, make: Callable[[], DataFrame], partitions: Callable[[], int] = lambda: 1) -> DataFrame:
     """The table that ``make`` gives, stored under its name and what it depends on (``of``: inputs, settings) in this application.
 
     The first call computes and writes it, later ones read it, so a chain of operators is not planned into one expression and
     is not run again for each count. A write that broke off has no _SUCCESS file and is done again. What changes in the inputs
-    while the application runs is not seen.
+    while the application runs is not seen. It is written with at least so many shuffle ``partitions``.
     """
     key = hashlib.sha256(repr(of).encode()).hexdigest()[:24]
     path = f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}/{name}-{key}"
@@ -54,10 +55,24 @@ def compute_once(spark: SparkSession, name: str, of: list, make: Callable[[], Da
     if not is_written(spark, path):
         rows = make()
         long = any(t.startswith("array") for _, t in rows.dtypes)
-        rows.write.mode("overwrite").options(**LONG_ROWS if long else {}).parquet(path)
+        with spread(spark, partitions()):
+            rows.write.mode("overwrite").options(**LONG_ROWS if long else {}).parquet(path)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def spread(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Plans that run in here shuffle to at least so many partitions. A task that sorts more than it has memory for leaves so
+    little to a window's rows that they spill hundreds of times, and each spill takes its buffers when it is read back."""
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(was), partitions)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     import uuid

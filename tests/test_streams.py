@@ -182,3 +182,18 @@ def test_prefix_is_cut_before_examples_are_dealt(spark):
     cut = dialogue.batched(spark, sf, most=20)
     assert cut.select(F.max(F.size(F.get("input_ids", F.lit(0))))).first()[0] == 20
     assert prefix(cut) == prefix(dialogue.batched(spark, sf))
+
+
+def test_stages_shuffle_in_parts_of_bounded_size(spark, monkeypatch, tmp_path):
+    from framewright.config import DEFAULT
+    from framewright.plans import dialogue
+
+    rows = [(c, i, ("user", "assistant")[i % 2], "ab cd ef " * 5) for c in range(9) for i in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(dialogue, "PARTITION_CHARS", 150)
+    seen = []
+    real, was = type(spark.conf).set, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, k, v: (seen.append((k, v)), real(self, k, v))[1])
+    assert dialogue.framed(spark, str(tmp_path), DEFAULT).count() > 0
+    assert [v for k, v in seen if k == "spark.sql.shuffle.partitions"] == ["11", was]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == was
