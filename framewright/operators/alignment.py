@@ -166,16 +166,19 @@ def text_stream_grid(cells: DataFrame, config: StreamConfig = DEFAULT) -> DataFr
     return grouped.select(*KEY, grid.alias("text"))
 
 
-def text_windows(cells: DataFrame, size: int, before: int, config: StreamConfig = DEFAULT) -> DataFrame:
+def text_windows(cells: DataFrame, size: int, before: int, config: StreamConfig = DEFAULT, past_end: bool = False) -> DataFrame:
     """(dialogue_id, speaker, part, num_frames, text): the streams of ``text_stream_grid`` in windows, so that no row is as long as a stream.
 
     Window ``part`` holds the frames from part * size - before (or 0) to (part + 1) * size, or to the end. Each cell brings the
-    padding since the cell before it, and the last one that to the end, to every window that they lie in.
+    padding since the cell before it, and the last one that to the end, to every window that they lie in. With ``past_end`` there
+    are also the windows that begin at or behind a stream's end and hold frames from before it: another stream of the dialogue
+    may go on.
     """
     pad, order = F.lit(config.text_padding_id), "PARTITION BY dialogue_id, speaker ORDER BY slot"
     rows = cells.withColumn("lo", F.expr(f"coalesce(lag(slot) OVER ({order}) + 1, 0)"))
     rows = rows.withColumn("hi", F.expr(f"if(lead(slot) OVER ({order}) IS NULL, num_frames - 1, slot)"))
-    windows = F.expr(f"sequence(cast(lo div {size} AS int), cast(least((hi + {before}) div {size}, (num_frames - 1) div {size}) AS int))")
+    last = f"(hi + {before}) div {size}" if past_end else f"least((hi + {before}) div {size}, (num_frames - 1) div {size})"
+    windows = F.expr(f"sequence(cast(lo div {size} AS int), cast({last} AS int))")
     rows = rows.select(*KEY, "num_frames", "lo", "hi", "slot", "id", F.explode(windows).alias("part"))
     first, last = F.greatest("lo", F.col("part") * size - before), F.least("hi", F.col("part") * size + (size - 1))
     runs = rows.select(*KEY, "part", "num_frames", F.struct(first.alias("lo"), last.alias("hi"), "slot", "id").alias("r"))
