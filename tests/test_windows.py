@@ -49,3 +49,7 @@ def test_examples_of_uneven_streams(spark, uneven):
 
 def test_split_streams_is_its_sql(spark, uneven):
     same_as_sql(spark, uneven, "split_streams")
+
+
+def test_prompt_prefix_is_its_sql(spark, uneven):
+    same_as_sql(spark, uneven, "prompt_prefix")
