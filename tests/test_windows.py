@@ -53,3 +53,7 @@ def test_split_streams_is_its_sql(spark, uneven):
 
 def test_prompt_prefix_is_its_sql(spark, uneven):
     same_as_sql(spark, uneven, "prompt_prefix")
+
+
+def test_collate_pad_is_its_sql(spark, uneven):
+    same_as_sql(spark, uneven, "collate_pad")
