@@ -57,3 +57,7 @@ def test_prompt_prefix_is_its_sql(spark, uneven):
 
 def test_collate_pad_is_its_sql(spark, uneven):
     same_as_sql(spark, uneven, "collate_pad")
+
+
+def test_stream_labels_is_its_sql(spark, uneven):
+    same_as_sql(spark, uneven, "stream_labels")
