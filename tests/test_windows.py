@@ -61,3 +61,25 @@ def test_collate_pad_is_its_sql(spark, uneven):
 
 def test_stream_labels_is_its_sql(spark, uneven):
     same_as_sql(spark, uneven, "stream_labels")
+
+
+def test_merge_streams_by_windows(spark, uneven, monkeypatch):
+    """No row is as long as a dialogue, and windows give what whole streams give."""
+    longest, real = [], streams.merge_streams
+
+    def seen(text, audio, *args, **kwargs):
+        both = real(text, audio, *args, **kwargs)
+        longest.extend(max(len(s) for x in (r.A, r.B) for s in x) for r in both.collect())
+        return both
+
+    monkeypatch.setattr(streams, "merge_streams", seen)
+    same_as_sql(spark, uneven, "merge_streams")
+    assert longest and max(longest) <= dialogue.WINDOW
+
+
+def test_merge_streams_needs_both_speakers_on_both_sides(spark):
+    text = [("d", s, p, [1, 2][p:]) for s in "AB" for p in (0, 1)] + [("x", "A", 0, [1]), ("y", "A", 0, [1]), ("y", "B", 0, [1])]
+    audio = [("d", s, p, [[7, 8], [9, 9]]) for s in "AB" for p in (0, 1)] + [("x", "A", 0, [[1]]), ("x", "B", 0, [[1]]), ("y", "B", 0, [[1]])]
+    text, audio = spark.createDataFrame(text, "dialogue_id string, speaker string, part int, text array<int>"), spark.createDataFrame(audio, "dialogue_id string, speaker string, part int, audio array<array<int>>")
+    got = sorted(map(tuple, streams.merge_streams(text, audio, window="part").collect()))
+    assert got == [("d", p, [t, [7, 8], [9, 9]], [t, [7, 8], [9, 9]]) for p, t in ((0, [1, 2]), (1, [2, 3]))]
